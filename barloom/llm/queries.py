@@ -24,3 +24,41 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.bpe import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from barloom.llm.tokenfile import read_token_file, write_token_file
+
+    return read_token_file(*write_token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+
+
+@query
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from barloom.llm.sharding import shard_documents
+
+    placed = shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from barloom.llm.chat import format_conversations, read_digests
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return read_digests(format_conversations(rows.unionByName(more)))
