@@ -69,3 +69,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.jaccard import components
 
     return components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.secrets import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.quality import judge
+
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
