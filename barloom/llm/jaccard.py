@@ -28,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.llm.common import map_rows, pieces, prepare, session_of, stored, string_bytes, text_or_empty, words
+from barloom.llm.common import byte_table, map_rows, mixed, pieces, prepare, session_of, span_hashes, stored, string_bytes, text_or_empty, words
 
 SHINGLE = 5
 #: Least Jaccard similarity of a link, in hundredths.
@@ -44,37 +43,10 @@ BROADCAST_ROWS = 500_000
 #: Rows of one column that are held to count it; a column with more counts as that frequent.
 COUNTED = 100_000
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_BASE = 0x9E6C63D0676A9A99
 _rng = np.random.default_rng(5)
-_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = byte_table(_rng)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * _MIX[0]
-    x = (x ^ x >> np.uint64(29)) * _MIX[1]
-    return x ^ x >> np.uint64(32)
-
-
-def _base_powers(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 21), base, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _powers[:] = both
-    return _powers
-
-
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = _base_powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64, out=sums[1:])
-    return _mixed((sums[end] - sums[start]) * inverse[start])
 
 
 def shingle_sets(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,11 +55,11 @@ def shingle_sets(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator
     none = np.zeros(0, np.int64)
     for i, j in pieces(at):
         start, end, first = words(part := raw[at[i] : at[j]], at[i : j + 1] - at[i])
-        h = word_hashes(part, start, end)
+        h = span_hashes(part, start, end, _BYTE)
         whole = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
             whole += h[k : k + len(whole)] * _PLACE[k]
-        whole = _mixed(whole).view(np.int64)
+        whole = mixed(whole).view(np.int64)
         for row in range(i, j):
             if wanted is not None and not wanted[row]:
                 continue
@@ -96,7 +68,7 @@ def shingle_sets(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator
                 yield row, np.unique(whole[a : b - SHINGLE + 1])
             elif b > a:
                 few = (h[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[SHINGLE:] * np.uint64(b - a)
-                yield row, _mixed(few).view(np.int64)
+                yield row, mixed(few).view(np.int64)
             else:
                 yield row, none
 
@@ -106,6 +78,11 @@ def head_size(n):
     return n - (n * PERCENT + 99) // 100 + 1
 
 
+def spare(n):
+    """More columns of a head, so that linked rows share some number of head columns, not one alone."""
+    return n // 12
+
+
 def links(overlap, a, b):
     return overlap * 100 >= PERCENT * (a + b - overlap)
 
@@ -137,7 +114,7 @@ def heads(docs: DataFrame) -> DataFrame:
             fresh, n, head = _fresh(batch.column(1).to_numpy(), seen), [], []
             for row, items in shingle_sets(batch.column(2)):
                 n.append(len(items))
-                head.append(items[: head_size(len(items))] if fresh[row] and len(items) else none)
+                head.append(items[: head_size(len(items)) + spare(len(items))] if fresh[row] and len(items) else none)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int32()), _lists(head)], ["id", "t", "n", "head"])
 
     return map_rows(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, t long, n int, head array<long>")
@@ -149,12 +126,16 @@ def _runs(key: np.ndarray) -> np.ndarray:
 
 
 def sharing(postings: DataFrame) -> DataFrame:
-    """The texts t that share a column s with another text."""
+    """The texts t that share as many of their head columns with others as a link needs.
+
+    Of the columns that two linked rows share, the first 1 + spare(n) are in both heads, n being the smaller size, which is
+    at least 0.8 times the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s0, t0, many0 = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the open run: one of its texts, whether it has others
+        s0, t0, n0, many0 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False  # the open run: its last text, whether it has others
         for batch in batches:
-            s, t = np.concatenate([s0, batch.column(0).to_numpy()]), np.concatenate([t0, batch.column(1).to_numpy()])
+            s, t, n = (np.concatenate([x, c.to_numpy()]) for x, c in zip((s0, t0, n0), batch.columns))
             if not len(s):
                 continue
             starts = _runs(s)[:-1]
@@ -162,11 +143,15 @@ def sharing(postings: DataFrame) -> DataFrame:
             other[1:] = (s[1:] == s[:-1]) & (t[1:] != t[:-1])
             many = np.logical_or.reduceat(other, starts)
             many[0] |= many0
-            found = np.unique(t[np.repeat(many, np.diff([*starts, len(s)]))])
-            s0, t0, many0 = s[-1:], t[-1:], bool(many[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["t"])
+            found, where, count = np.unique(t[np.repeat(many, np.diff([*starts, len(s)]))], return_index=True, return_counts=True)
+            sizes = n[np.repeat(many, np.diff([*starts, len(s)]))][where]
+            s0, t0, n0, many0 = s[-1:], t[-1:], n[-1:], bool(many[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sizes, pa.int32()), pa.array(count, pa.int64())], ["t", "n", "count"])
 
-    return map_rows(postings.select("s", "t").repartition("s").sortWithinPartitions("s", "t"), run, "t long").distinct()
+    shared = map_rows(postings.select("s", "t", "n").repartition("s").sortWithinPartitions("s", "t"), run, "t long, n int, count long")
+    total = shared.groupBy("t", "n").agg(F.sum("count").alias("count"))
+    smaller = F.floor((F.col("n") * PERCENT + 99) / 100)
+    return total.filter(F.col("count") >= 1 + F.floor(smaller / 12)).select("t")
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
@@ -321,13 +306,9 @@ def block_links(blocked: DataFrame) -> DataFrame:
         held: list = []
 
         def close() -> pa.RecordBatch:
-            t, n, sets = (list(x) for x in zip(*((r[1], r[2], r[3]) for r in held)))
-            first = list(range(len(t)))
-            for low in range(0, len(t), BLOCK):  # part sizes are even in the mean only
-                size = np.array(n[low : low + BLOCK], np.int64)
-                if len(size) > 1:
-                    overlap = product(sets[low : low + BLOCK])
-                    first[low : low + BLOCK] = (_component(links(overlap, size[:, None], size[None, :])) + low).tolist()
+            t, n, sets = (list(x) for x in zip(*(r[1:] for r in held)))
+            size = np.array(n, np.int64)
+            first = _component(links(product(sets), size[:, None], size[None, :])).tolist() if len(t) > 1 else [0]
             return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array([t[i] for i in first], pa.int64())], ["t", "to"])
 
         for batch in batches:
@@ -345,11 +326,28 @@ def block_links(blocked: DataFrame) -> DataFrame:
     return map_rows(rows, run, "t long, to long")
 
 
-def _parted(near: DataFrame, members: DataFrame) -> DataFrame:
-    """near with the block (g, part) of each member (t, g); blocks of over BLOCK texts are dealt by hash into parts."""
-    parts = members.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK * 0.75)).cast("int").alias("parts"), F.count("*").alias("size")).filter("size > 1")
-    dealt = members.join(parts, "g").select("t", "g", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("t"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
-    return near.select("t", "n", "items").join(dealt, "t")
+def _parted(members: DataFrame) -> DataFrame:
+    """(t, g, part, parts) of members (t, g) of blocks of two or more; larger ones than BLOCK are dealt by hash into parts."""
+    sizes = members.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("parts"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    return members.join(sizes, "g").select("t", "g", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("part"), "parts")
+
+
+def _with_sets(near: DataFrame, dealt: DataFrame) -> DataFrame:
+    return near.select("t", "n", "items").join(dealt.select("t", "g", "part"), "t")
+
+
+def _outlying(dealt: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, g, part): blocks that bring the texts outside a divided block's main component together with all its parts."""
+    wide = dealt.filter("parts > 1").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    count = wide.groupBy("g", "label").agg(F.count("*").alias("c"))
+    main = count.groupBy("g").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size")).select("g", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("rest")).filter("rest > 0")
+    placed = wide.join(main, "g").withColumn("chunks", F.ceil(F.col("rest") / F.lit(float(BLOCK))).cast("int"))
+    chunk = F.pmod(F.xxhash64(F.lit(1), "t"), F.col("chunks")).cast("int")
+    inner = placed.filter("label = main").select("t", "g", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"), "parts")
+    outer = placed.filter("label != main").select("t", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "part", "parts", chunk.alias("own"), "chunks")
+    # An outlying text meets each part's other texts in the block of its own chunk, and the outlying ones of that part too.
+    met = outer.filter("p != part").select("t", "g", "p", F.col("own").alias("k"), "parts").union(outer.filter("p = part").select("t", "g", "p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"), "parts"))
+    return inner.union(met).distinct().select("t", "g", (F.col("k") * F.col("parts") + F.col("p")).cast("int").alias("part"))
 
 
 def contract(edges: DataFrame) -> DataFrame | None:
@@ -371,21 +369,21 @@ def contract(edges: DataFrame) -> DataFrame | None:
     return stored(out, "jaccard-labels")
 
 
-def unconnected(near: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that share a head column, have sizes that allow a link, and have different labels."""
+def unconnected(near: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that share a head column, have sizes that allow a link, and have different labels and blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-        def pairs(t, n, label) -> Iterator[pa.RecordBatch]:
-            if len(t) < 2 or (label == label[0]).all():
+        def pairs(t, n, label, block) -> Iterator[pa.RecordBatch]:
+            if len(t) < 2 or (label == label[0]).all() or (block == block[0]).all():
                 return
             names, count = np.unique(label, return_counts=True)
             main = label == names[count.argmax()]  # pairs inside the largest component are never formed
             few, size = np.flatnonzero(~main), n.astype(np.int64)
             for low in range(0, len(few), 256):
                 i = few[low : low + 256]
-                ok = (label[i, None] != label[None, :]) & (100 * np.minimum(size[i, None], size[None, :]) >= PERCENT * np.maximum(size[i, None], size[None, :]))
+                ok = (label[i, None] != label[None, :]) & (block[i, None] != block[None, :]) & (100 * np.minimum(size[i, None], size[None, :]) >= PERCENT * np.maximum(size[i, None], size[None, :]))
                 ok &= main[None, :] | (t[i, None] < t[None, :])
                 x, y = np.nonzero(ok)
                 if len(x):
@@ -404,9 +402,9 @@ def unconnected(near: DataFrame, labels: DataFrame | None) -> DataFrame:
         if len(rest[0]) > 1:
             yield from pairs(*rest[1:])
 
-    rows = near.select(F.explode("head").alias("s"), "t", "n")
+    rows = near.select(F.explode("head").alias("s"), "t", "n").join(members, "t")
     rows = rows.withColumn("label", F.col("t")) if labels is None else rows.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
-    return map_rows(rows.select("s", "t", "n", "label").repartition("s").sortWithinPartitions("s", "n", "t"), run, "a long, b long").distinct()
+    return map_rows(rows.select("s", "t", "n", "label", "g").repartition("s").sortWithinPartitions("s", "n", "t"), run, "a long, b long").distinct()
 
 
 def counted_links(near: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -425,24 +423,34 @@ def counted_links(near: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_rows(both, run, "a long, b long")
 
 
+def _edges(linked: DataFrame) -> DataFrame:
+    return linked.filter("t != to").select(F.col("t").alias("a"), F.col("to").alias("b"))
+
+
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles and component_id of each row of docs."""
     spark = session_of(docs)
     prepare(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("t"), text_or_empty(text_column).alias("text"))
     known = stored(heads(rows), "jaccard-heads", "snappy")
-    near_texts = stored(sharing(known.select(F.explode("head").alias("s"), "t")), "jaccard-sharing")
+    near_texts = stored(sharing(known.select(F.explode("head").alias("s"), "t", "n")), "jaccard-sharing")
     some = near_texts.count()
     again = rows.select("t", "text").join(F.broadcast(near_texts) if some <= BROADCAST_ROWS else near_texts, "t", "left_semi")
     near = stored(near_rows(shared_columns(whole_sets(again))), "jaccard-near", "snappy")
     members = stored(centres(near), "jaccard-centres")
-    first = stored(block_links(_parted(near, members)), "jaccard-links")
-    # Texts that stand for their component in a part of a large block meet in one more block.
-    stand = members.join(first.filter("t = to").select("t"), "t", "left_semi")
-    second = block_links(_parted(near, stand))
-    edges = stored(first.union(second).select(F.col("t").alias("a"), F.col("to").alias("b")).filter("a != b"), "jaccard-edges")
+    dealt = stored(_parted(members), "jaccard-dealt")
+    first = stored(block_links(_with_sets(near, dealt)), "jaccard-links")
+    edges = _edges(first)
+    labels = None
+    if not dealt.filter("parts > 1").isEmpty():
+        # Texts that stand for their component in a part of a divided block meet in one more block, then the others do.
+        stand = members.join(first.filter("t = to").select("t"), "t", "left_semi").join(dealt.filter("parts > 1").select("t"), "t", "left_semi")
+        edges = stored(edges.union(_edges(block_links(_with_sets(near, _parted(stand))))), "jaccard-edges")
+        labels = contract(edges)
+        if labels is not None:
+            edges = stored(edges.union(_edges(block_links(_with_sets(near, _outlying(dealt, labels))))), "jaccard-edges")
     labels = contract(edges)
-    pairs = unconnected(near, labels)
+    pairs = unconnected(near, members, labels)
     late = stored(counted_links(near, pairs), "jaccard-late")
     if not late.isEmpty():
         labels = contract(edges.union(late))
