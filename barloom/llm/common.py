@@ -110,3 +110,38 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     end[cut - 1] = inside[cut - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     return s, e, np.searchsorted(s, at)
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_BASE = 0x9E6C63D0676A9A99
+_powers: list[np.ndarray] = []
+
+
+def byte_table(rng: np.random.Generator) -> np.ndarray:
+    """A random odd 64-bit number for each byte."""
+    return rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * _MIX[0]
+    x = (x ^ x >> np.uint64(29)) * _MIX[1]
+    return x ^ x >> np.uint64(32)
+
+
+def _base_powers(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 21), base, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _powers[:] = both
+    return _powers
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[start:end] for many spans, from one running sum of a polynomial in the bytes' numbers."""
+    power, inverse = _base_powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(table[raw] * power[: len(raw)], dtype=np.uint64, out=sums[1:])
+    return mixed((sums[end] - sums[start]) * inverse[start])

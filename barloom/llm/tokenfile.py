@@ -13,6 +13,7 @@ order of their texts' hashes; an empty table gives an empty file; other columns
 from __future__ import annotations
 
 import gc
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.bpe import UNUSUAL
-from barloom.llm.common import map_rows, prepare, session_of, stored, text_or_empty
+from barloom.llm.common import byte_table, map_rows, pieces, prepare, session_of, span_hashes, stored, string_bytes, text_or_empty, words
 
 MAGIC = b"BLTF"
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -76,52 +76,109 @@ def read_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else k for k, z in zip(keys, nulls.tolist())], counts, ranks
 
 
+_TABLE = byte_table(np.random.default_rng(8))
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+
+
+def _odd_space(raw: np.ndarray) -> np.ndarray:
+    """Places of white space other than space and line feed, in UTF-8."""
+    odd = _ODD[raw]
+    high = np.flatnonzero((raw == 0xC2) | (raw >= 0xE1) & (raw <= 0xE3))
+    if len(high):
+        a, b, c = (raw[np.minimum(high + k, len(raw) - 1)] for k in range(3))
+        odd[high] = (
+            (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+            | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+            | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+            | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+            | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        )
+    return np.flatnonzero(odd)
+
+
 class BatchTokenizer:
-    """Whole texts to ids by the tokenizers library, each distinct unit of a text once.
+    """Whole texts to ids by the tokenizers library, each distinct unit once.
 
-    Pre-tokens never span a single space or line feed between two words, so a text without other white space is the
-    units between those; other texts go to the library whole.
+    Pre-tokens never span a single space or line feed between two words. So where those are a text's only white space,
+    its units are the words, each with the separator before it, and a text's ids are its units' ids in order. Units of a
+    batch are told apart by 64-bit hashes, those kept between batches by their bytes. Other texts go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.length = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.length[i] = len(token)  # a byte-level token has one character for each of its bytes
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = most
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        end = [0, *np.cumsum([4 * len(x) for x in found]).tolist()]
+        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", end[-1] // 4).tobytes()
+        return [flat[a:b] for a, b in zip(end, end[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._units(t) for t in texts]
+    def _units(self, units: list[bytes]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = []
-        for unit in set().union(*[u for u in cut if u is not None]):
-            if unit not in known:
-                if unit in older:
-                    known[unit] = older[unit]
-                else:
-                    new.append(unit)
-        if len(known) + len(new) > self.most:
-            self.older, self.known = known, {}
-            known = self.known
-            for unit in set().union(*[u for u in cut if u is not None]) - set(new):
-                known[unit] = self.older[unit]
-        known.update(zip(new, self._library(new)))
-        whole = iter(self._library([t for t, u in zip(texts, cut) if u is None]))
-        return [next(whole) if u is None else b"".join(map(known.__getitem__, u)) for u in cut]
-
-    @staticmethod
-    def _units(text: str) -> list[str] | None:
-        if not text:
-            return []
-        if UNUSUAL.search(text):
-            return None
-        # A unit keeps the space before it; a line feed is a unit of its own.
-        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None
+        out = [known.get(u) for u in units]
+        missing = [i for i, x in enumerate(out) if x is None]
+        if older:
+            for i in missing:
+                if (x := older.get(units[i])) is not None:
+                    out[i] = known[units[i]] = x
+            missing = [i for i in missing if out[i] is None]
+        for low in range(0, len(missing), 5000):
+            some = missing[low : low + 5000]
+            for i, x in zip(some, self._together([units[i] for i in some])):
+                out[i] = known[units[i]] = x
+        return out
+
+    def _together(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units that the library gets as one text, which is cut where their separators stand."""
+        bare = np.array([u[:1] not in (b" ", b"\n") for u in units])
+        parts = [b"\n" + u if x else u for u, x in zip(units, bare.tolist())]
+        ids = np.frombuffer(self.library([b"".join(parts).decode()])[0], "<u4")
+        end = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(p) for p in parts])) + 1
+        start = np.concatenate([[0], end[:-1]]) + bare
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * start).tolist(), (4 * end).tolist())]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each row of a string column without nulls, as little-endian unsigned 32-bit integers."""
+        raw, at = string_bytes(column)
+        out: list[bytes] = []
+        for i, j in pieces(at, 1 << 22):
+            part, rows = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+            start, end, first = words(part, rows)
+            has = np.flatnonzero(np.diff(first))
+            begin = np.maximum(start - 1, 0)  # with the separator
+            begin[first[has]] = start[first[has]]
+            # A row is usual if its words are one byte apart, fill it, and have no other white space.
+            odd = np.zeros(j - i, bool)
+            gap = np.flatnonzero(start[1:] != end[:-1] + 1) + 1
+            gap = gap[~np.isin(gap, first[has])]
+            odd[np.searchsorted(rows, start[gap], "right") - 1] = True
+            odd[has] |= (start[first[has]] != rows[has]) | (end[first[has + 1] - 1] != rows[has + 1])
+            odd[np.searchsorted(rows, _odd_space(part), "right") - 1] = True
+            odd |= (np.diff(first) == 0) & (np.diff(rows) > 0)
+            _, where, which = np.unique(span_hashes(part, begin, end, _TABLE), return_index=True, return_inverse=True)
+            data = part.tobytes()
+            ids = self._units([data[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())])
+            size = np.array([len(x) // 4 for x in ids], np.int64)
+            pool, before = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])
+            count = size[which]
+            upto = np.concatenate([[0], np.cumsum(count)])
+            flat = memoryview(pool[np.repeat(before[which] - upto[:-1], count) + np.arange(upto[-1])].tobytes())
+            cut = (4 * upto[first]).tolist()
+            whole = iter(self.library([data[rows[k] : rows[k + 1]].decode() for k in np.flatnonzero(odd)]))
+            out += [next(whole) if o else bytes(flat[a:b]) for o, a, b in zip(odd.tolist(), cut, cut[1:])]
+        return out
 
 
 @lru_cache(1)
@@ -143,7 +200,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [x + end for x in coder.encode(batch.column(2).to_pylist())]
+            ids = [x + end for x in coder.encode(batch.column(2))]
             counts = [len(x) // 4 for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([batch.column(0)[0].as_py()], pa.int32()), pa.array([seq], pa.int64()), pa.array([batch.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(ids)], pa.binary())],
