@@ -81,6 +81,12 @@ _ODD = np.zeros(256, bool)
 _ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[33:127] = ~_ALNUM[33:127]
+
+
 def _odd_space(raw: np.ndarray) -> np.ndarray:
     """Places of white space other than space and line feed, in UTF-8."""
     odd = _ODD[raw]
@@ -149,6 +155,20 @@ class BatchTokenizer:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip((4 * start).tolist(), (4 * end).tolist())]
 
+    @staticmethod
+    def _parted(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units with a closing run of ASCII punctuation cut off: a pre-token ends where it follows a letter or digit."""
+        solid = np.where(_PUNCTUATION[raw], 0, np.arange(1, len(raw) + 1))
+        core = np.maximum.accumulate(solid)[end - 1] if len(end) else end
+        last = raw[np.maximum(core - 1, 0)]
+        latin = (raw[np.maximum(core - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        cut = (core < end) & (core > begin) & (_ALNUM[last] | latin & (core - 1 > begin))
+        at = np.cumsum(1 + cut) - cut - 1
+        b, e = np.empty(len(begin) + cut.sum(), np.int64), np.empty(len(begin) + cut.sum(), np.int64)
+        b[at], e[at] = begin, np.where(cut, core, end)
+        b[at[cut] + 1], e[at[cut] + 1] = core[cut], end[cut]
+        return b, e, np.concatenate([at, [len(b)]])[first]
+
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each row of a string column without nulls, as little-endian unsigned 32-bit integers."""
         raw, at = string_bytes(column)
@@ -167,6 +187,7 @@ class BatchTokenizer:
             odd[has] |= (start[first[has]] != rows[has]) | (end[first[has + 1] - 1] != rows[has + 1])
             odd[np.searchsorted(rows, _odd_space(part), "right") - 1] = True
             odd |= (np.diff(first) == 0) & (np.diff(rows) > 0)
+            begin, end, first = self._parted(part, begin, end, first)
             _, where, which = np.unique(span_hashes(part, begin, end, _TABLE), return_index=True, return_inverse=True)
             data = part.tobytes()
             ids = self._units([data[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())])
