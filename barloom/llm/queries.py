@@ -84,3 +84,10 @@ def op10_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.jpeg import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
