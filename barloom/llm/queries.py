@@ -91,3 +91,10 @@ def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.jpeg import media_digests
 
     return media_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
