@@ -132,7 +132,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     trusted = trusted_ids(labels).cache()
     worded = with_words(docs, text_column)
     weights = ratio_weights(worded, trusted, id_column)
-    own = worded.join(F.broadcast(trusted), worded[id_column] == F.col("_trusted"), "left_semi").filter(F.size("_h") >= 50)
+    own = with_words(docs.join(F.broadcast(trusted), docs[id_column] == F.col("_trusted"), "left_semi"), text_column).filter(F.size("_h") >= 50)
     least = own.select(score(F.col("_h"), weights).alias("s")).agg(F.percentile("s", LOST).alias("q")).first()["q"]
     trusted.unpersist()
     scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights))
