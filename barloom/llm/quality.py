@@ -135,6 +135,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     own = with_words(docs.join(F.broadcast(trusted), docs[id_column] == F.col("_trusted"), "left_semi"), text_column).filter(F.size("_h") >= 50)
     least = own.select(score(F.col("_h"), weights).alias("s")).agg(F.percentile("s", LOST).alias("q")).first()["q"]
     trusted.unpersist()
-    scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights))
+    # A filter on `kept` must not be moved below the arrays: it would put their expressions inside each other's lambda
+    # functions. Filters are not moved below a column that depends on the partition.
+    scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights)).withColumn("_here", F.spark_partition_id() >= 0)
     passed = F.lit(True) if least is None else F.col("score") >= F.lit(least)
-    return scored.withColumn("kept", ~F.col("base_failed") & passed).drop("_text", "_words", "_h")
+    return scored.withColumn("kept", ~F.col("base_failed") & passed & F.col("_here")).drop("_text", "_words", "_h", "_here")

@@ -155,24 +155,26 @@ def candidates(index: DataFrame, number: dict[str, int], queries: dict[int, list
     return held.select("t", rules.alias("rules")).filter("rules != 0")
 
 
-def spans_of(rule: Rule, order: int, text: Column, wanted: Column | None) -> Column:
-    """The rule's spans (start, kind_no, end, kind) in a text: the lengths of what lies between matches give their places."""
-    match = "struct<start: int, kind_no: int, end: int, kind: string>"
-    found = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
-    between = F.split(text, F.lit(rule.java), F.lit(-1))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{match}>").alias("out"))
+def matches_of(rule: Rule, text: Column, wanted: Column | None) -> tuple[Column, Column]:
+    """The rule's matches in a text, and what lies between them; null where there are none."""
+    able = text.rlike(rule.java) if wanted is None else wanted & text.rlike(rule.java)
+    return F.when(able, F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))), F.when(able, F.split(text, F.lit(rule.java), F.lit(-1)))
+
+
+def spans_of(rule: Rule, order: int, found: str, between: str) -> Column:
+    """The rule's spans (start, kind_no, end, kind), from columns of matches_of(): lengths give the places."""
+    spans = "array<struct<start: int, kind_no: int, end: int, kind: string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
         m = F.get(found, i)
+        start = acc["at"] + F.length(F.get(between, i))
         span = F.struct(start.alias("start"), F.lit(order).alias("kind_no"), (start + F.length(m)).alias("end"), F.lit(rule.kind).alias("kind"))
         ok = F.length(F.regexp_extract(m, rule.java, rule.group)) >= rule.least if rule.least else F.lit(True)
         return F.struct((start + F.length(m)).alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     places = F.sequence(F.lit(0), F.size(found) - 1)
-    spans = F.when(F.size(found) > 0, F.aggregate(places, zero, step, lambda a: a["out"])).otherwise(zero["out"])
-    able = text.rlike(rule.java)
-    return F.when(able if wanted is None else wanted & able, spans).otherwise(zero["out"])
+    return F.when(F.col(found).isNotNull(), F.aggregate(places, zero, step, lambda a: a["out"])).otherwise(zero["out"])
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
@@ -188,8 +190,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "t
     else:
         able = able.withColumn("rules", F.lit(None).cast("int"))
     able = able.withColumn("_text", text)
-    each = {f"_s{i}": spans_of(r, i, F.col("_text"), F.coalesce(F.col("rules").bitwiseAND(1 << i) != 0, F.lit(False)) if i in queries else None) for i, r in enumerate(rules)}
-    spanned = able.withColumns(each).withColumn("spans", F.sort_array(F.concat(*each)))
+    found = {i: matches_of(r, F.col("_text"), F.coalesce(F.col("rules").bitwiseAND(1 << i) != 0, F.lit(False)) if i in queries else None) for i, r in enumerate(rules)}
+    matched = able.withColumns({f"_{kind}{i}": c for i, both in found.items() for kind, c in zip("mb", both)})
+    spanned = matched.withColumn("spans", F.sort_array(F.concat(*(spans_of(r, i, f"_m{i}", f"_b{i}") for i, r in enumerate(rules)))))
     return spanned.select(*docs.columns, "spans")
 
 
