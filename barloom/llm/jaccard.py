@@ -433,9 +433,11 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     prepare(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("t"), text_or_empty(text_column).alias("text"))
     known = stored(heads(rows), "jaccard-heads", "snappy")
-    near_texts = stored(sharing(known.select(F.explode("head").alias("s"), "t", "n")), "jaccard-sharing")
-    some = near_texts.count()
-    again = rows.select("t", "text").join(F.broadcast(near_texts) if some <= BROADCAST_ROWS else near_texts, "t", "left_semi")
+    near_texts = sharing(known.select(F.explode("head").alias("s"), "t", "n"))
+    # One row of each text goes on, whichever partitions its copies are in.
+    chosen = stored(known.groupBy("t").agg(F.min("id").alias("_id")).join(near_texts, "t").withColumnRenamed("t", "_t"), "jaccard-sharing")
+    few = chosen.count() <= BROADCAST_ROWS
+    again = rows.join(F.broadcast(chosen) if few else chosen, (F.col("t") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t", "text")
     near = stored(near_rows(shared_columns(whole_sets(again))), "jaccard-near", "snappy")
     members = stored(centres(near), "jaccard-centres")
     dealt = stored(_parted(members), "jaccard-dealt")
