@@ -2,8 +2,8 @@
 
 Words and neighbouring word pairs are hashed into buckets. Counts over every document give the raw multinomial, counts
 over trusted documents the target's, smoothed towards the raw one by PRIOR words. A document's score is the mean over its
-n-grams of log(target / raw). The threshold is the score that all but the share LOST of the trusted documents reach, so it
-follows from the tables alone, and every document is held against it. Column functions only.
+n-grams of log(target / raw). The counts are of one half of the trusted documents; the threshold is the score
+that all but the share LOST of the other half reach, so it follows from the tables alone, and every document is held against it. Column functions only.
 
 Defined results: null text has no words; a document that fails a base rule is not kept, whatever its score; without
 trusted documents every ratio is 1 and only the base rules count; an empty table gives no rows; repeated rows are scored
@@ -28,6 +28,8 @@ PRIOR = 20_000
 LOST = 0.005
 #: Trusted rows that are used, about; more are thinned by a hash of their id.
 TRUSTED_ROWS = 100_000
+#: Times 1 / n of the distance from the middle score that the threshold is lowered by, for n scores.
+FREE = 10
 #: Words a text may have for three-word windows to be packed with their place into one long; longer texts use pairs.
 PACKED = 1 << 20
 
@@ -130,11 +132,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the base rules' counts, base_failed, score and kept."""
     trusted = trusted_ids(labels).cache()
+    half = F.pmod(F.xxhash64(F.lit("half"), "_trusted"), F.lit(2))
     worded = with_words(docs, text_column)
-    weights = ratio_weights(worded, trusted, id_column)
-    own = with_words(docs.join(F.broadcast(trusted), docs[id_column] == F.col("_trusted"), "left_semi"), text_column).filter(F.size("_h") >= 50)
-    least = own.select(score(F.col("_h"), weights).alias("s")).agg(F.percentile("s", LOST).alias("q")).first()["q"]
+    weights = ratio_weights(worded, trusted.filter(half == 0), id_column)
+    # The threshold comes from trusted documents that the counts have not seen, as they have not seen the others.
+    unseen = docs.join(F.broadcast(trusted.filter(half == 1)), docs[id_column] == F.col("_trusted"), "left_semi")
+    scores = with_words(unseen, text_column).filter(F.size("_h") >= 50).select(score(F.col("_h"), weights).alias("s"))
+    q = scores.agg(F.percentile("s", LOST).alias("low"), F.percentile("s", 0.5).alias("mid"), F.count("*").alias("n")).first()
     trusted.unpersist()
+    # Few scores say little about their tail: 1 / n of the way from the middle is left free, FREE times.
+    least = None if q["low"] is None else q["low"] - (q["mid"] - q["low"]) * min(1.0, FREE / q["n"])
     # A filter on `kept` must not be moved below the arrays: it would put their expressions inside each other's lambda
     # functions. Filters are not moved below a column that depends on the partition.
     scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights)).withColumn("_here", F.spark_partition_id() >= 0)
