@@ -115,7 +115,8 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.length = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.length = np.zeros(self.vocabulary, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.length[i] = len(token)  # a byte-level token has one character for each of its bytes
         self.known: dict[bytes, bytes] = {}
@@ -173,7 +174,7 @@ class BatchTokenizer:
         """Ids of each row of a string column without nulls, as little-endian unsigned 32-bit integers."""
         raw, at = string_bytes(column)
         out: list[bytes] = []
-        for i, j in pieces(at, 1 << 22):
+        for i, j in pieces(at, 1 << 23):
             part, rows = raw[at[i] : at[j]], at[i : j + 1] - at[i]
             start, end, first = words(part, rows)
             has = np.flatnonzero(np.diff(first))
@@ -210,9 +211,15 @@ def batch_tokenizer(path: str) -> BatchTokenizer:
     return BatchTokenizer(path)
 
 
+def id_kind(vocabulary: str) -> str:
+    """The narrower unsigned integer that holds every id of the vocabulary."""
+    return "<u2" if batch_tokenizer(vocabulary).vocabulary <= 1 << 16 else "<u4"
+
+
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Unranked blocks in ascending id order: part, seq, doc_ids, counts, ids (binary, unsigned 32-bit)."""
+    """Unranked blocks in ascending id order: part, seq, doc_ids, counts, ids (binary, of id_kind())."""
     spark = session_of(docs)
+    kind = id_kind(vocabulary)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +231,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str =
             ids = [x + end for x in coder.encode(batch.column(2))]
             counts = [len(x) // 4 for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0)[0].as_py()], pa.int32()), pa.array([seq], pa.int64()), pa.array([batch.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(ids)], pa.binary())],
+                [pa.array([batch.column(0)[0].as_py()], pa.int32()), pa.array([seq], pa.int64()), pa.array([batch.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()], pa.binary())],
                 ["part", "seq", "doc_ids", "counts", "ids"],
             )
             seq += 1
@@ -238,14 +245,14 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str =
     return map_rows(ordered, run, "part int, seq long, doc_ids array<long>, counts array<int>, ids binary")
 
 
-def frequency_ranks(blocks: DataFrame, vocabulary_size: int) -> np.ndarray:
+def frequency_ranks(blocks: DataFrame, vocabulary_size: int, kind: str) -> np.ndarray:
     """ids by falling frequency over all blocks; the driver gets one row for each id of the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                seen = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+                seen = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
                 seen[: len(total)] += total
                 total = seen
         at = np.flatnonzero(total)
@@ -265,9 +272,8 @@ def write_token_file(docs: DataFrame, vocabulary: str, end_id: int = 2, id_colum
     raw = stored(token_blocks(docs, vocabulary, end_id, id_column, text_column), "token-ids")
     gc.collect()
     spark._jvm.System.gc()  # the sorted texts' shuffle files can go before the file is written
-    from tokenizers import Tokenizer
-
-    by_rank = frequency_ranks(raw, Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True))
+    kind = id_kind(vocabulary)
+    by_rank = frequency_ranks(raw, batch_tokenizer(vocabulary).vocabulary, kind)
     rank = np.empty(len(by_rank), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
@@ -276,8 +282,8 @@ def write_token_file(docs: DataFrame, vocabulary: str, end_id: int = 2, id_colum
         table = shared.value
         for batch in batches:
             for part, seq, doc_ids, counts, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                block = write_block(doc_ids, np.array(counts, np.int64), table[np.frombuffer(ids, "<u4")])
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(ids) // 4], pa.int64()), pa.array([block], pa.binary())], ["part", "seq", "n_ids", "block"])
+                block = write_block(doc_ids, np.array(counts, np.int64), table[np.frombuffer(ids, kind)])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([block], pa.binary())], ["part", "seq", "n_ids", "block"])
 
     return stored(map_rows(raw, run, "part int, seq long, n_ids long, block binary"), "token-file"), by_rank
 
