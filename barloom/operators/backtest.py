@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.python import by_group
 from barloom.functions.windows import all_dates, by_date, by_name, cumulative, forward_fill, no_nan, pct_rank
 from barloom.operators.costs import total_cost
 from barloom.operators.portfolio import dense, long_short_weights, vol_target_leverage
@@ -42,7 +43,7 @@ def smoothed(scores: DataFrame, score: str = "pred", span: int = 3) -> DataFrame
                 out[i] = up / down
         return pd.DataFrame({"date": pdf["date"], "ticker": pdf["ticker"], "smooth": out})
 
-    made = grid.groupBy("ticker").applyInPandas(run, "date date, ticker string, smooth double")
+    made = by_group(grid, "ticker", run, "date date, ticker string, smooth double")
     return made.withColumn("smooth", F.round(no_nan(F.col("smooth")), 12))
 
 
@@ -77,7 +78,12 @@ def positions(scores: DataFrame, score: str = "pred", quantile: float = 0.2, smo
 
 def equity(book: DataFrame, column: str = "net") -> DataFrame:
     """(date, equity, drawdown) of compounded returns."""
-    grown = book.na.drop(subset=[column]).withColumn("equity", F.exp(cumulative(F.sum, F.log1p(column), all_dates())))
+    growth, order = F.lit(1.0) + F.col(column), all_dates()
+    # A running product by logarithms, with its sign and zeros counted apart: a loss can exceed the capital.
+    size = F.exp(cumulative(F.sum, F.ln(F.abs(F.nullif(growth, F.lit(0.0)))), order))
+    sign = 1 - 2 * (cumulative(F.sum, (growth < 0).cast("int"), order) % 2)
+    product = F.when(cumulative(F.sum, (growth == 0).cast("int"), order) > 0, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0)))
+    grown = book.na.drop(subset=[column]).withColumn("equity", product)
     return grown.select("date", "equity", (F.col("equity") / cumulative(F.max, F.col("equity"), all_dates()) - 1).alias("drawdown"))
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.python import by_group
 from barloom.functions.windows import by_date, by_name, clip, kurt, mean, no_nan, rolling, skew, std
 
 EPS = 1e-9
@@ -205,7 +206,7 @@ def sequential(frame: DataFrame, wanted: tuple[str, ...] = SEQUENTIAL) -> DataFr
         return out
 
     needed = frame.select("ticker", "date", "close", "ret1", *(["vol20"] if "_vol_rank" in wanted else []))
-    made = needed.groupBy("ticker").applyInPandas(run, "ticker string, date date, " + ", ".join(f"{c} double" for c in wanted))
+    made = by_group(needed, "ticker", run, "ticker string, date date, " + ", ".join(f"{c} double" for c in wanted))
     return frame.join(made.select("ticker", "date", *(no_nan(F.col(c)).alias(c) for c in wanted)), ["ticker", "date"])
 
 

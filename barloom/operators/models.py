@@ -87,7 +87,7 @@ def stack(oof: DataFrame, columns: list[str], target: str = "target", alpha: flo
 
 def fit_fold(rows: DataFrame, features: list[str], settings: dict | None = None, seed: int = 7, weighted: bool = True) -> tuple[DataFrame, dict[str, dict[str, float]]]:
     """Test rows of one fold (role, ...) with each model's predictions, and feature importances."""
-    ready = VectorAssembler(inputCols=features, outputCol="features").transform(prepare_fold(rows, features))
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(prepare_fold(rows.cache(), features)).cache()
     train = ready.filter("role = 'train'").na.drop(subset=["target"])
     train = (sample_weights(train) if weighted else train.withColumn("weight", F.lit(1.0))).cache()
     test, gain = ready.filter("role = 'test'"), {}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.python import by_group
 from barloom.functions.windows import by_series
 from barloom.operators.features import exponential_std
 
@@ -48,7 +49,7 @@ def filtered_historical_var(frame: DataFrame, level: float = 0.95, halflife: flo
         z = (pdf["r"].reset_index(drop=True) / (vol + 1e-12)).dropna()
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], "var": [-z.quantile(1 - level) * vol.iloc[-1]]})
 
-    return frame.select("series", "date", "r").groupBy("series").applyInPandas(run, "series string, var double")
+    return by_group(frame.select("series", "date", "r"), "series", run, "series string, var double")
 
 
 def p_value(lr: float) -> float:

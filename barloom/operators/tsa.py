@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.python import by_group
 from barloom.functions.windows import by_series, mean
 from barloom.operators.features import exponential_std, expanding_rank, fractional_weights, rescaled_range
 
@@ -84,7 +85,7 @@ def cusum_breaks(frame: DataFrame, threshold: float = 5.0) -> DataFrame:
                 found.append(d)
         return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(found), "date": found})
 
-    return frame.select("series", "date", "r").groupBy("series").applyInPandas(run, "series string, date date")
+    return by_group(frame.select("series", "date", "r"), "series", run, "series string, date date")
 
 
 def kalman_hedge_ratio(frame: DataFrame, q: float = 1e-5, noise: float = 1e-3) -> DataFrame:
@@ -101,7 +102,7 @@ def kalman_hedge_ratio(frame: DataFrame, q: float = 1e-5, noise: float = 1e-3) -
             out.append(beta)
         return pd.DataFrame({"series": pdf["series"], "date": pdf["date"], "beta": out})
 
-    return frame.select("series", "date", "y", "x").groupBy("series").applyInPandas(run, "series string, date date, beta double")
+    return by_group(frame.select("series", "date", "y", "x"), "series", run, "series string, date date, beta double")
 
 
 def engle_granger(frame: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def baseline_forecasts(frame: DataFrame, horizon: int = 5, test: float = 0.3) ->
     before = rows.withColumn("before", F.lag("y").over(by_series()))
     train = before.filter("k <= split").groupBy("series").agg(F.avg("y").alias("m"), F.regr_slope("y", "before").alias("phi"), F.max_by("y", "k").alias("last"))
     held = rows.filter("k > split").join(train, "series").withColumn("step", F.col("k") - F.col("split"))
-    preds = F.array(F.struct(F.lit("random_walk").alias("model"), F.lit(0.0).alias("p")), F.struct(F.lit("historical_mean"), F.col("m")), F.struct(F.lit("ar1"), F.col("m") + F.pow("phi", "step") * (F.col("last") - F.col("m"))))
+    preds = F.array(F.struct(F.lit("random_walk").alias("model"), F.lit(0.0).alias("p")), F.struct(F.lit("historical_mean").alias("model"), F.col("m").alias("p")), F.struct(F.lit("ar1").alias("model"), (F.col("m") + F.pow("phi", "step") * (F.col("last") - F.col("m"))).alias("p")))
     each = held.withColumn("x", F.explode(preds)).select("series", "x.model", "x.p", "y")
     return each.groupBy("series", "model").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2)))).alias("rmse"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), F.avg((F.signum("p") == F.signum("y")).cast("double")).alias("directional_acc"))
 
@@ -148,7 +149,7 @@ def garch_vol(frame: DataFrame, halflife: float = 20) -> DataFrame:
         pdf = pdf.sort_values("date")
         return pd.DataFrame({"series": pdf["series"], "date": pdf["date"], "vol": exponential_std(pdf["r"].to_numpy(float), halflife) * math.sqrt(252)})
 
-    return frame.select("series", "date", "r").groupBy("series").applyInPandas(run, "series string, date date, vol double")
+    return by_group(frame.select("series", "date", "r"), "series", run, "series string, date date, vol double")
 
 
 def vol_regimes(frame: DataFrame, n: int = 20) -> DataFrame:
@@ -159,7 +160,7 @@ def vol_regimes(frame: DataFrame, n: int = 20) -> DataFrame:
         q = expanding_rank(pdf["r"].rolling(n).std().to_numpy())
         return pd.DataFrame({"series": pdf["series"], "date": pdf["date"], "state": np.where(np.isnan(q), np.nan, np.where(q <= 0.4, 0.0, np.where(q <= 0.75, 1.0, 2.0)))})
 
-    return frame.select("series", "date", "r").groupBy("series").applyInPandas(run, "series string, date date, state double")
+    return by_group(frame.select("series", "date", "r"), "series", run, "series string, date date, state double")
 
 
 def dickey_fuller(x: np.ndarray, most: int | None = None) -> tuple[float, int]:
@@ -206,7 +207,7 @@ def stationarity(frame: DataFrame) -> DataFrame:
         verdict = "stationary" if t < -2.86 and k < 0.463 else "unit root" if t >= -2.86 and k >= 0.463 else "inconclusive"
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], "adf": [t], "adf_lags": [lags], "kpss": [k], "hurst": [rescaled_range(x)], "verdict": [verdict]})
 
-    return frame.select("series", "date", "r").groupBy("series").applyInPandas(run, "series string, adf double, adf_lags int, kpss double, hurst double, verdict string")
+    return by_group(frame.select("series", "date", "r"), "series", run, "series string, adf double, adf_lags int, kpss double, hurst double, verdict string")
 
 
 def least_difference_order(frame: DataFrame, orders: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0), width: int = 24) -> DataFrame:
@@ -222,4 +223,4 @@ def least_difference_order(frame: DataFrame, orders: tuple[float, ...] = (0.0, 0
             rows.append((pdf["series"].iloc[0], d, dickey_fuller(x)[0] if ok else np.nan, float(np.corrcoef(x, y[width:])[0, 1]) if ok else np.nan))
         return pd.DataFrame(rows, columns=["series", "d", "adf", "corr"])
 
-    return frame.select("series", "date", "y").groupBy("series").applyInPandas(run, "series string, d double, adf double, corr double")
+    return by_group(frame.select("series", "date", "y"), "series", run, "series string, d double, adf double, corr double")

@@ -71,8 +71,8 @@ def _weights_sql(score: str, source: str) -> str:
 BOOK = f"""{SCORED},
   grid as (select d.date, t.ticker, row_number() over (partition by t.ticker order by d.date) as k from (select distinct date from sc) d, (select distinct ticker from sc) t),
   g as (select grid.*, sc.pred, sc.r from grid left join sc using (date, ticker)),
-  e as (select ticker, k, date, coalesce(pred, 0) as up, case when pred is null then 0.0 else 1.0 end as down from g where k = 1
-    union all select g.ticker, g.k, g.date, e.up * 0.5 + coalesce(g.pred, 0), e.down * 0.5 + case when g.pred is null then 0.0 else 1.0 end from e join g on g.ticker = e.ticker and g.k = e.k + 1),
+  e as (select ticker, k, date, coalesce(pred, 0)::double as up, (case when pred is null then 0 else 1 end)::double as down from g where k = 1
+    union all select g.ticker, g.k, g.date, e.up * 0.5::double + coalesce(g.pred, 0), e.down * 0.5::double + case when g.pred is null then 0 else 1 end from e join g on g.ticker = e.ticker and g.k = e.k + 1),
   sm as (select ticker, date, round(up / nullif(down, 0), 12) as smooth from e),
   {_weights_sql('smooth', 'sm')},
   h0 as (select ticker, date, case when (row_number() over ({NAME}) - 1) % 5 = 0 then weight end as kept from wt),
@@ -80,7 +80,7 @@ BOOK = f"""{SCORED},
   h as (select h1.*, lag(weight) over ({NAME}) as before, g.r from h1 join g using (ticker, date)),
   day as (select date, coalesce(sum(before * r), 0) as raw, coalesce(sum(abs(weight - before)), 0) as traded, sum(abs(least(weight, 0))) as short, sum(abs(weight)) as ge, sum(weight) as ne from h group by date),
   lv as (select *, {roll('stddev_samp', 'raw', 63, 'order by date')} * sqrt(252.0) as vol from day),
-  le as (select *, coalesce(least(greatest(lag(0.10::double / (vol + 1e-9)) over (order by date), 0), 3), 1) as leverage from lv),
+  le as (select *, case when lag(vol) over (order by date) is null then 1 else least(greatest(lag(0.10::double / (vol + 1e-9)) over (order by date), 0), 3) end::double as leverage from lv),
   bk as (select date, raw * leverage as gross, traded * leverage as turnover, leverage, ge * leverage as gross_exposure, ne * leverage as net_exposure,
     traded * leverage * 5.0 / 1e4 + sqrt(traded * leverage) * 8.0 / 1e4 + short * leverage * 50.0 / 1e4 / 252 as cost, short * leverage * 50.0 / 1e4 / 252 as borrow from le),
   book as (select *, gross - cost as net from bk)"""
@@ -288,7 +288,7 @@ def target(spark, sf):
 
 @query(
     f"""with {base()}, p as (select ticker, date, i, lc, vol20, list(lc) over ({NAME} rows between 1 following and 10 following) as f from b),
-  q as (select *, coalesce(len(f), 0) as n, list_position(list_transform(f, x -> x - lc > 2 * vol20), true) as up, list_position(list_transform(f, x -> x - lc < -vol20), true) as dn from p),
+  q as (select *, coalesce(len(f), 0) as n, list_position(list_transform(f, lambda x: x - lc > 2 * vol20), true) as up, list_position(list_transform(f, lambda x: x - lc < -vol20), true) as dn from p),
   o as (select *, coalesce(vol20 > 0 and n > 0, false) as ok, case when coalesce(up, 0) = 0 then null else up end as u, case when coalesce(dn, 0) = 0 then null else dn end as d from q)
   select ticker, date, case when ok and (u is not null or d is not null) then case when d is null or u < d then 1.0 else -1.0 end else 0.0 end as label, case when ok then coalesce(least(u, d), n) end::int as bars_held,
     round(case when ok then f[coalesce(least(u, d), n)] - lc end, 6) + 0.0 as realised from o"""
@@ -364,8 +364,10 @@ def walk_forward(spark, sf):
 @query(
     f"""with {_DATES}, g as (select date, row, (select max(k) from range(6) r(k) where k * (n // 6) + least(k, n % 6) <= row) as grp from dd),
   cc as (select row_number() over (order by a, b) - 1 as fold, a, b from (select a.k as a, b.k as b from range(6) a(k), range(6) b(k) where a.k < b.k)),
-  lim as (select fold, a, b, min(date) - 15 as lo, max(date) + 15 as hi from cc join g on grp in (a, b) group by all)
-  select fold::int as fold, date, case when grp in (a, b) then 'test' else 'train' end as role from g, lim where grp in (a, b) or date < lo or date > hi"""
+  lim as (select fold, a, b, min(date) - 15 as lo, max(date) + 15 as hi from cc join g on grp in (a, b) group by all),
+  al as (select fold, date, case when grp in (a, b) then 'test' else 'train' end as role from g, lim where grp in (a, b) or date < lo or date > hi),
+  ok as (select fold, row_number() over (order by fold) - 1 as k from al group by fold having count(*) filter (role = 'train') > 250 and count(*) filter (role = 'test') > 40)
+  select k::int as fold, date, role from al join ok using (fold)"""
 )
 def cpcv(spark, sf):
     return splits.fold_table(spark, splits.combinatorial(splits.unique_dates(_dates(spark, sf))))
@@ -454,7 +456,7 @@ def cost_sensitivity(spark, sf):
     return _round(bt.cost_sensitivity(_book(spark, sf)), "cost_multiple")
 
 
-_CURVE = "cv0 as (select date, exp(sum(ln(1 + net)) over (order by date)) as equity from book), cv as (select date, equity, equity / max(equity) over (order by date) - 1 as drawdown from cv0)"
+_CURVE = "cv0 as (select date, product(1 + net) over (order by date) as equity from book), cv as (select date, equity, equity / max(equity) over (order by date) - 1 as drawdown from cv0)"
 
 
 @query(f"with recursive {BOOK}, {_CURVE} select date, round(equity, 6) + 0.0 as equity, round(drawdown, 6) + 0.0 as drawdown from cv")
