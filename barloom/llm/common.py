@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.python import ship
+
 #: Rows in one Arrow batch sent to Python; texts can be long, so it is far below Spark's default.
 BATCH_ROWS = 1000
 
@@ -24,20 +23,7 @@ def session_of(df: DataFrame) -> SparkSession:
 def prepare(spark: SparkSession) -> None:
     """Let executors import this package, and bound the Arrow batches they are sent."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if getattr(sc, "_barloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent).as_posix())
-    import tempfile
-
-    path = Path(tempfile.mkdtemp(prefix="barloom")) / "barloom_code.zip"
-    path.write_bytes(data.getvalue())
-    sc.addPyFile(str(path.resolve()))  # the driver serves it to every executor
-    sc._barloom_shipped = True
+    ship(spark)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -128,8 +128,9 @@ def postings(docs: DataFrame, queries: dict[int, list[frozenset[str]]], text: Co
     """The index: (trigram, t) for each text hash t and each trigram of the queries that the text has."""
     number = {g: i for i, g in enumerate(sorted(set().union(*(term for q in queries.values() for term in q))))}
     low = docs.select(F.xxhash64(text).alias("t"), F.lower(text).alias("low"))
-    has = F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for g, i in number.items()))
-    return low.select("t", F.explode(F.array_compact(has)).alias("trigram")), number
+    grams = F.lit(list(number))
+    has = F.filter(F.lit(list(range(len(number)))), lambda i: F.contains("low", F.get(grams, i)))
+    return low.select("t", F.explode(has).alias("trigram")), number
 
 
 def candidates(index: DataFrame, number: dict[str, int], queries: dict[int, list[frozenset[str]]]) -> DataFrame:
