@@ -34,6 +34,10 @@ FREE = 10
 PACKED = 1 << 20
 
 
+#: Columns that judge() adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def words_of(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SPACE))
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
@@ -142,8 +146,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     trusted.unpersist()
     # Few scores say little about their tail: 1 / n of the way from the middle is left free, FREE times.
     least = None if q["low"] is None else q["low"] - (q["mid"] - q["low"]) * min(1.0, FREE / q["n"])
-    # A filter on `kept` must not be moved below the arrays: it would put their expressions inside each other's lambda
-    # functions. Filters are not moved below a column that depends on the partition.
+    # A filter on a result must not be moved below the arrays: it would put their expressions inside each other's lambda
+    # functions. Filters are not moved below a column that depends on the partition, so every result refers to one.
     scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights)).withColumn("_here", F.spark_partition_id() >= 0)
     passed = F.lit(True) if least is None else F.col("score") >= F.lit(least)
-    return scored.withColumn("kept", ~F.col("base_failed") & passed & F.col("_here")).drop("_text", "_words", "_h", "_here")
+    judged = scored.withColumn("kept", ~F.col("base_failed") & passed)
+    return judged.withColumns({c: F.when(F.col("_here"), F.col(c)) for c in RESULTS}).drop("_text", "_words", "_h", "_here")
