@@ -83,7 +83,7 @@ def cusum_breaks(frame: DataFrame, threshold: float = 5.0) -> DataFrame:
             elif down < -threshold:
                 down = 0.0
                 found.append(d)
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(found), "date": found})
+        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(found), "date": found}, dtype=object)
 
     return by_group(frame.select("series", "date", "r"), "series", run, "series string, date date")
 
