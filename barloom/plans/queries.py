@@ -290,12 +290,12 @@ def target(spark, sf):
     f"""with {base()}, p as (select ticker, date, i, lc, vol20, list(lc) over ({NAME} rows between 1 following and 10 following) as f from b),
   q as (select *, coalesce(len(f), 0) as n, list_position(list_transform(f, lambda x: x - lc > 2 * vol20), true) as up, list_position(list_transform(f, lambda x: x - lc < -vol20), true) as dn from p),
   o as (select *, coalesce(vol20 > 0 and n > 0, false) as ok, case when coalesce(up, 0) = 0 then null else up end as u, case when coalesce(dn, 0) = 0 then null else dn end as d from q)
-  select ticker, date, case when ok and (u is not null or d is not null) then case when d is null or u < d then 1.0 else -1.0 end else 0.0 end as label, case when ok then coalesce(least(u, d), n) end::int as bars_held,
+  select ticker, date, case when ok and (u is not null or d is not null) then case when d is null or u < d then 1.0 else -1.0 end else 0.0 end as label, case when ok then coalesce(least(u, d), n) end::double as bars_held,
     round(case when ok then f[coalesce(least(u, d), n)] - lc end, 6) + 0.0 as realised from o"""
 )
 def triple_barrier(spark, sf):
     made = labels.triple_barrier(features.window_features(_bars(spark, sf)).select("ticker", "date", "close", "vol20"))
-    return made.withColumn("realised", rounded(C("realised")))
+    return made.withColumns({"bars_held": C("bars_held").cast("double"), "realised": rounded(C("realised"))})
 
 
 _ENDS = f"ends as (select ticker, date, last_value(lead5 ignore nulls) over ({NAME} rows between unbounded preceding and current row) as t1 from (select ticker, date, lead(date, 5) over ({NAME}) as lead5 from bars))"

@@ -18,7 +18,7 @@ NAMES = ["bars", "audit", "ret_mom", "rolling_skew_kurt", "rsi", "ewma_vol", "re
 
 def rows(frame: pd.DataFrame) -> list[str]:
     def value(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
         return round(float(v), 6) + 0.0 if isinstance(v, Real) else str(v)[:10] if "date" in type(v).__name__.lower() or "stamp" in type(v).__name__.lower() else v
 
