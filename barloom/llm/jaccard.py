@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import byte_table, map_rows, mixed, pieces, prepare, session_of, span_hashes, stored, string_bytes, text_or_empty, words
+from barloom.llm.common import byte_table, map_rows, mixed, pieces, prepare, release, session_of, span_hashes, stored, string_bytes, text_or_empty, words
 
 SHINGLE = 5
 #: Least Jaccard similarity of a link, in hundredths.
@@ -437,6 +437,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # One row of each text goes on, whichever partitions its copies are in.
     chosen = stored(known.groupBy("t").agg(F.min("id").alias("_id")).join(near_texts, "t").withColumnRenamed("t", "_t"), "jaccard-sharing")
     few = chosen.count() <= BROADCAST_ROWS
+    release(spark)
     again = rows.join(F.broadcast(chosen) if few else chosen, (F.col("t") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t", "text")
     near = stored(near_rows(shared_columns(whole_sets(again))), "jaccard-near", "snappy")
     members = stored(centres(near), "jaccard-centres")

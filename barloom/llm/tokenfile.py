@@ -12,7 +12,6 @@ order of their texts' hashes; an empty table gives an empty file; other columns
 
 from __future__ import annotations
 
-import gc
 import itertools
 import struct
 import zlib
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import byte_table, map_rows, pieces, prepare, session_of, span_hashes, stored, string_bytes, text_or_empty, words
+from barloom.llm.common import byte_table, map_rows, pieces, prepare, release, session_of, span_hashes, stored, string_bytes, text_or_empty, words
 
 MAGIC = b"BLTF"
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -270,8 +269,7 @@ def write_token_file(docs: DataFrame, vocabulary: str, end_id: int = 2, id_colum
     spark = session_of(docs)
     prepare(spark)
     raw = stored(token_blocks(docs, vocabulary, end_id, id_column, text_column), "token-ids")
-    gc.collect()
-    spark._jvm.System.gc()  # the sorted texts' shuffle files can go before the file is written
+    release(spark)  # the sorted texts' shuffle files can go before the file is written
     kind = id_kind(vocabulary)
     by_rank = frequency_ranks(raw, batch_tokenizer(vocabulary).vocabulary, kind)
     rank = np.empty(len(by_rank), np.uint32)
