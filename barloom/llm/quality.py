@@ -134,7 +134,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with the base rules' counts, base_failed, score and kept."""
+    """docs with the columns RESULTS, in place of columns of those names."""
     trusted = trusted_ids(labels).cache()
     half = F.pmod(F.xxhash64(F.lit("half"), "_trusted"), F.lit(2))
     worded = with_words(docs, text_column)

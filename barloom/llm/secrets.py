@@ -179,22 +179,22 @@ def spans_of(rule: Rule, order: int, found: str, between: str) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
-    """docs with `spans`: all rules' spans in order of start, then of rules."""
+    """docs with `spans`, in place of a column of that name: all rules' spans in order of start, then of rules."""
     text = text_or_empty(text_column)
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     able = docs.withColumn("_t", F.xxhash64(text))
     if queries:
         index, number = postings(docs, queries, text)
-        found = stored(candidates(stored(index, "secret-postings"), number, queries), "secret-candidates").withColumnRenamed("t", "_c")
+        found = stored(candidates(stored(index, "secret-postings"), number, queries), "secret-candidates").toDF("_c", "_rules")
         few = found.count() <= BROADCAST_ROWS
         able = able.join(F.broadcast(found) if few else found, F.col("_t") == F.col("_c"), "left")
     else:
-        able = able.withColumn("rules", F.lit(None).cast("int"))
+        able = able.withColumn("_rules", F.lit(None).cast("int"))
     able = able.withColumn("_text", text)
-    found = {i: matches_of(r, F.col("_text"), F.coalesce(F.col("rules").bitwiseAND(1 << i) != 0, F.lit(False)) if i in queries else None) for i, r in enumerate(rules)}
+    found = {i: matches_of(r, F.col("_text"), F.coalesce(F.col("_rules").bitwiseAND(1 << i) != 0, F.lit(False)) if i in queries else None) for i, r in enumerate(rules)}
     matched = able.withColumns({f"_{kind}{i}": c for i, both in found.items() for kind, c in zip("mb", both)})
     spanned = matched.withColumn("spans", F.sort_array(F.concat(*(spans_of(r, i, f"_m{i}", f"_b{i}") for i, r in enumerate(rules)))))
-    return spanned.select(*docs.columns, "spans")
+    return spanned.select(*(c for c in docs.columns if c != "spans"), "spans")
 
 
 def written(spans: Column) -> Column:
@@ -219,5 +219,6 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", text_column: str = "text")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, more).otherwise(acc["out"]).alias("out"))
 
     rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    scanned = scan(docs, RULES, text_column)
-    return scanned.withColumn(text_column, F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, rest)).otherwise(text)).select(*docs.columns)
+    scanned = scan(docs.withColumnRenamed("spans", "_spans"), RULES, text_column)
+    marked = scanned.withColumn(text_column, F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, rest)).otherwise(text))
+    return marked.drop("spans").withColumnRenamed("_spans", "spans").select(*docs.columns)

@@ -13,6 +13,8 @@ def test_stages_take_effect(spark, sf):
     kept = {r["doc_id"] for r in quality.judge(docs, labels).filter("kept").collect()}
     first = corpus_pipeline.quality_rules(spark, docs, sf).cache()
     assert {r["doc_id"] for r in first.collect()} == kept and first.columns == docs.columns
+    clash = corpus_pipeline.quality_rules(spark, docs.withColumn("kept", docs["lang"]), sf)
+    assert clash.count() == len(kept) and clash.filter("kept <> lang").isEmpty()
     unique = corpus_pipeline.near_duplicates(spark, first, sf).cache()
     comps = jaccard.components(first).collect()
     assert {r["doc_id"] for r in unique.collect()} == {r["component_id"] for r in comps}

@@ -47,6 +47,8 @@ def test_redaction_and_empty_table(spark):
     rows = spark.createDataFrame([(1, TEXTS[0]), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
     assert got == {1: "say [SECRET]' and [SECRET], [SECRET] ok", 2: "nothing", 3: None}
+    clash = secrets.redacted(rows.withColumns({"spans": F.lit("own"), "rules": F.lit(5)})).filter("doc_id = 1").first()
+    assert (clash["spans"], clash["rules"], clash["text"]) == ("own", 5, got[1])
     assert secrets.digests(rows.limit(0)).count() == 0
 
 
