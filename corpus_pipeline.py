@@ -16,7 +16,9 @@ from barloom.llm.common import stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio against trusted ones."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    apart = {c: f"_{c}" for c in docs.columns if c in quality.RESULTS}  # names that the judgement needs
+    kept = quality.judge(docs.withColumnsRenamed(apart), table(spark, sf_dir, "labels")).filter("kept")
+    return kept.drop(*quality.RESULTS).withColumnsRenamed({b: a for a, b in apart.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
