@@ -107,7 +107,9 @@ class BatchTokenizer:
 
     Pre-tokens never span a single space or line feed between two words. So where those are a text's only white space,
     its units are the words, each with the separator before it, and a text's ids are its units' ids in order. Units of a
-    batch are told apart by 64-bit hashes, those kept between batches by their bytes. Other texts go to the library whole.
+    batch are told apart by 64-bit hashes, those kept between batches by their bytes. Other texts, and those that hold an
+    added token, which the library finds before it looks for pre-tokens, go to the library whole; none of their units
+    are encoded. All texts do if an added token has white space, as it could then begin in one unit and end in the next.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -118,6 +120,8 @@ class BatchTokenizer:
         self.length = np.zeros(self.vocabulary, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.length[i] = len(token)  # a byte-level token has one character for each of its bytes
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.spaced = any(t.split() != [t] for t in map(bytes.decode, self.added))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.most = most
@@ -155,6 +159,16 @@ class BatchTokenizer:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip((4 * start).tolist(), (4 * end).tolist())]
 
+    def _with_added(self, data: bytes) -> list[int]:
+        """Places where an added token's content begins."""
+        out = []
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                out.append(at)
+                at = data.find(token, at + 1)
+        return out
+
     @staticmethod
     def _parted(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units with a closing run of ASCII punctuation cut off: a pre-token ends where it follows a letter or digit."""
@@ -175,21 +189,23 @@ class BatchTokenizer:
         out: list[bytes] = []
         for i, j in pieces(at, 1 << 23):
             part, rows = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+            data = part.tobytes()
             start, end, first = words(part, rows)
             has = np.flatnonzero(np.diff(first))
             begin = np.maximum(start - 1, 0)  # with the separator
             begin[first[has]] = start[first[has]]
-            # A row is usual if its words are one byte apart, fill it, and have no other white space.
-            odd = np.zeros(j - i, bool)
+            # A row is usual if its words are one byte apart, fill it, and have no other white space and no added token.
+            odd = np.full(j - i, self.spaced)
             gap = np.flatnonzero(start[1:] != end[:-1] + 1) + 1
             gap = gap[~np.isin(gap, first[has])]
             odd[np.searchsorted(rows, start[gap], "right") - 1] = True
             odd[has] |= (start[first[has]] != rows[has]) | (end[first[has + 1] - 1] != rows[has + 1])
             odd[np.searchsorted(rows, _odd_space(part), "right") - 1] = True
+            odd[np.searchsorted(rows, np.array(self._with_added(data), np.int64), "right") - 1] = True
             odd |= (np.diff(first) == 0) & (np.diff(rows) > 0)
-            begin, end, first = self._parted(part, begin, end, first)
+            usual, count = np.repeat(~odd, np.diff(first)), np.where(odd, 0, np.diff(first))
+            begin, end, first = self._parted(part, begin[usual], end[usual], np.concatenate([[0], np.cumsum(count)]))
             _, where, which = np.unique(span_hashes(part, begin, end, _TABLE), return_index=True, return_inverse=True)
-            data = part.tobytes()
             ids = self._units([data[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())])
             size = np.array([len(x) // 4 for x in ids], np.int64)
             pool, before = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])

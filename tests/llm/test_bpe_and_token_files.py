@@ -98,6 +98,25 @@ def test_units_equal_whole_texts():
     check()
 
 
+def test_texts_with_added_tokens_equal_whole_texts():
+    coder = tokenfile.BatchTokenizer(JSON)
+    many = ["one <|endoftext|> two", "<|endoftext|>", "usual words, only.", "a <|endoftext|>.\nb", "foo<|endoftext|>bar", "<|endoftext", "|> ends", "x <|endoftext|>", "", "<|endoftext|><|endoftext|> two"]
+    got = coder.encode(pa.array(many, pa.string()))
+    assert got == coder.library(many)
+    assert np.frombuffer(got[0], "<u4").tolist() == [505, 220, 50256, 734]
+
+
+def test_added_tokens_with_white_space_equal_whole_texts(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    own = Tokenizer.from_file(JSON)
+    own.add_tokens([AddedToken("<a b>", normalized=False), AddedToken("<strip>", lstrip=True, rstrip=True, normalized=False)])
+    own.save(str(tmp_path / "own.json"))
+    coder = tokenfile.BatchTokenizer(str(tmp_path / "own.json"))
+    many = ["x <a b> y", "x <a", "c b> y", "one <strip> two"]
+    assert coder.encode(pa.array(many, pa.string())) == coder.library(many)
+
+
 def test_file_in_id_order(spark):
     import zlib
 
