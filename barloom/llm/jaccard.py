@@ -336,9 +336,13 @@ def _with_sets(near: DataFrame, dealt: DataFrame) -> DataFrame:
     return near.select("t", "n", "items").join(dealt.select("t", "g", "part"), "t")
 
 
-def _outlying(dealt: DataFrame, labels: DataFrame) -> DataFrame:
-    """(t, g, part): blocks that bring the texts outside a divided block's main component together with all its parts."""
-    wide = dealt.filter("parts > 1").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
+def _outlying(dealt: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(t, g, part): blocks that bring the texts outside a divided block's main component together with all its parts.
+
+    Without labels no text is linked yet, and each is its own component.
+    """
+    wide = dealt.filter("parts > 1")
+    wide = wide.withColumn("label", F.col("t")) if labels is None else wide.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
     count = wide.groupBy("g", "label").agg(F.count("*").alias("c"))
     main = count.groupBy("g").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size")).select("g", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("rest")).filter("rest > 0")
     placed = wide.join(main, "g").withColumn("chunks", F.ceil(F.col("rest") / F.lit(float(BLOCK))).cast("int"))
@@ -449,9 +453,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         # Texts that stand for their component in a part of a divided block meet in one more block, then the others do.
         stand = members.join(first.filter("t = to").select("t"), "t", "left_semi").join(dealt.filter("parts > 1").select("t"), "t", "left_semi")
         edges = stored(edges.union(_edges(block_links(_with_sets(near, _parted(stand))))), "jaccard-edges")
-        labels = contract(edges)
-        if labels is not None:
-            edges = stored(edges.union(_edges(block_links(_with_sets(near, _outlying(dealt, labels))))), "jaccard-edges")
+        edges = stored(edges.union(_edges(block_links(_with_sets(near, _outlying(dealt, contract(edges)))))), "jaccard-edges")
     labels = contract(edges)
     pairs = unconnected(near, members, labels)
     late = stored(counted_links(near, pairs), "jaccard-late")

@@ -70,6 +70,18 @@ def test_large_group_of_near_copies_in_parts(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_one_link_across_parts_of_form_letters(spark, monkeypatch):
+    """Form letters below the bound, in one divided block, and a single near copy that is dealt to another part."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    letters = [" ".join([f"f{k}" for k in range(89)] + [f"own{i}x{k}" for k in range(15)]) for i in range(40)]
+    copies = [letters[7] + f"y{k}" for k in range(20)]  # another last word
+    parts = -(-(len(letters) + 1) // jaccard.BLOCK)
+    dealt = spark.createDataFrame(list(enumerate([letters[7], *copies])), "i int, text string").select("i", F.pmod(F.xxhash64(F.xxhash64("text")), F.lit(parts)).alias("part"))
+    part = [r["part"] for r in sorted(dealt.collect())]
+    copy = next(c for c, p in zip(copies, part[1:]) if p != part[0])
+    check(spark, list(enumerate([*letters, copy])))
+
+
 def test_empty_table_of_documents(spark):
     assert jaccard.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
