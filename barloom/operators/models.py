@@ -7,7 +7,7 @@ import math
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,42 +16,62 @@ from barloom.operators.labels import sample_weights
 from barloom.operators.splits import fold_table, prepare_fold, unique_dates, walk_forward
 
 #: Settings that a tuner may change.
-DEFAULTS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
+DEFAULTS = {"maxIter": 450, "maxDepth": 4, "stepSize": 0.035, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
+
+
+#: Trees after which AdaBoost's lineage is cut.
+CUT = 10
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Long boosting cuts its lineage there, which would otherwise grow with every round."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/barloom")
 
 
 class AdaBoostR2:
     """Boosted regression trees: rows with larger errors weigh more in the next tree; predictions are weighted medians."""
 
-    def __init__(self, estimators: int = 10, depth: int = 3, seed: int = 7):
-        self.estimators, self.depth, self.seed, self.trees, self.votes = estimators, depth, seed, [], []
+    def __init__(self, estimators: int = 250, depth: int = 3, seed: int = 7, rate: float = 0.05):
+        self.estimators, self.depth, self.seed, self.rate, self.trees, self.votes = estimators, depth, seed, rate, [], []
 
     def fit(self, df: DataFrame) -> AdaBoostR2:
-        current = df.withColumn("_w", F.col("weight"))
+        checkpoint_folder(df.sparkSession)
+        current = df.select("features", "target", F.col("weight").alias("_w"))
         for k in range(self.estimators):
             tree = DecisionTreeRegressor(maxDepth=self.depth, featuresCol="features", labelCol="target", weightCol="_w", predictionCol="_p", seed=self.seed + k).fit(current)
             scored = tree.transform(current).withColumn("_e", F.abs(F.col("_p") - F.col("target")))
-            worst = scored.agg(F.max("_e").alias("m")).first()["m"] or 0.0
+            r = scored.agg(F.max("_e").alias("m"), (F.sum(F.col("_w") * F.col("_e")) / F.sum("_w")).alias("l")).first()
+            worst = r["m"] or 0.0
             if worst == 0:
                 self.trees, self.votes = [*self.trees, tree], [*self.votes, 1.0]
                 break
-            loss = scored.agg((F.sum(F.col("_w") * F.col("_e")) / F.sum("_w") / worst).alias("l")).first()["l"]
+            loss = r["l"] / worst
             if loss >= 0.5:
                 if not self.trees:
                     self.trees, self.votes = [tree], [1.0]
                 break
             beta = loss / (1 - loss)
-            self.trees, self.votes = [*self.trees, tree], [*self.votes, math.log(1 / beta)]
-            current = scored.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_e") / worst)).drop("_p", "_e")
+            self.trees, self.votes = [*self.trees, tree], [*self.votes, self.rate * math.log(1 / beta)]
+            current = scored.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), self.rate * (1 - F.col("_e") / worst))).drop("_p", "_e")
+            if k % CUT == CUT - 1:
+                current = current.checkpoint()
         return self
 
     def transform(self, df: DataFrame, column: str) -> DataFrame:
-        for k, tree in enumerate(self.trees):
-            df = tree.copy().setPredictionCol(f"_t{k}").transform(df)
-        votes = F.array_sort(F.array(*(F.struct(F.col(f"_t{k}").alias("p"), F.lit(v).alias("v")) for k, v in enumerate(self.votes))))
+        checkpoint_folder(df.sparkSession)
+        df = df.withColumn("_votes", F.array().cast("array<struct<p:double,v:double>>"))
+        for low in range(0, len(self.trees), CUT):
+            some = range(low, min(low + CUT, len(self.trees)))
+            for k in some:
+                df = self.trees[k].copy().setPredictionCol(f"_t{k}").transform(df)
+            made = F.array(*(F.struct(F.col(f"_t{k}").alias("p"), F.lit(self.votes[k]).alias("v")) for k in some))
+            df = df.withColumn("_votes", F.concat("_votes", made)).drop(*(f"_t{k}" for k in some))
+            df = df.checkpoint() if len(self.trees) > CUT else df
         half = sum(self.votes) / 2
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("p"))
         step = lambda a, x: F.struct((a["sum"] + x["v"]).alias("sum"), F.coalesce(a["p"], F.when(a["sum"] + x["v"] >= half, x["p"])).alias("p"))
-        return df.withColumn(column, F.aggregate(votes, start, step, lambda a: a["p"])).drop(*(f"_t{k}" for k in range(len(self.trees))))
+        return df.withColumn(column, F.aggregate(F.array_sort("_votes"), start, step, lambda a: a["p"])).drop("_votes")
 
 
 def gbt(seed: int = 7, **settings: float) -> GBTRegressor:
@@ -64,11 +84,11 @@ def ridge(alpha: float, n: int, deviation: float) -> LinearRegression:
 
 
 def regressors(settings: dict | None = None, seed: int = 7) -> dict:
-    return {"Boost": gbt(seed, **(settings or {})), "DeepBoost": gbt(seed + 1, maxDepth=5, stepSize=0.03, subsamplingRate=0.6), "AdaBoost": AdaBoostR2(seed=seed)}
+    return {"Boost": gbt(seed, **(settings or {})), "DeepBoost": gbt(seed + 1, maxIter=500, maxDepth=5, stepSize=0.04, subsamplingRate=0.6), "AdaBoost": AdaBoostR2(seed=seed)}
 
 
 def classifiers(seed: int = 7) -> dict:
-    return {"Boost": GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, maxDepth=4, seed=seed), "Logistic": LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight")}
+    return {"Boost": GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=400, maxDepth=4, stepSize=0.04, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed), "Logistic": LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight")}
 
 
 def rank_average(columns: list[str], *keys: str) -> Column:
@@ -102,6 +122,7 @@ def fit_fold(rows: DataFrame, features: list[str], settings: dict | None = None,
 def run_walk_forward(panel: DataFrame, features: list[str], settings: dict | None = None, folds: int = 5, horizon: int = 5, embargo: int = 5, seed: int = 7, weighted: bool = True) -> tuple[DataFrame, dict[str, float], list[dict]]:
     """Out-of-fold predictions (date, ticker, target, fwd_ret, fold, models, Ensemble), mean importances, fold summary."""
     spark = panel.sparkSession
+    checkpoint_folder(spark)
     splits = walk_forward(unique_dates(panel), folds, horizon, embargo)
     rows = panel.join(fold_table(spark, splits), "date")
     names = list(regressors())

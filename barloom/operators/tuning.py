@@ -13,14 +13,14 @@ from pyspark.sql.window import Window
 
 from barloom.functions.windows import pct_rank
 from barloom.operators.backtest import rank_ic
-from barloom.operators.models import DEFAULTS, gbt
+from barloom.operators.models import DEFAULTS, checkpoint_folder, gbt
 from barloom.operators.splits import prepare_fold, unique_dates
 
 
 def suggest(rng: random.Random) -> dict:
     """One draw of booster settings, rates on a logarithmic scale."""
     log = lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b)))
-    return {"maxIter": rng.randrange(10, 60, 10), "maxDepth": rng.randint(2, 7), "stepSize": log(0.005, 0.15), "subsamplingRate": rng.uniform(0.5, 1.0), "minInstancesPerNode": round(log(1, 60))}
+    return {"maxIter": rng.randrange(200, 901, 50), "maxDepth": rng.randint(2, 7), "stepSize": log(0.005, 0.15), "subsamplingRate": rng.uniform(0.5, 1.0), "minInstancesPerNode": round(log(1, 60))}
 
 
 def tune(panel: DataFrame, features: list[str], trials: int = 25, horizon: int = 5, embargo: int = 5, seed: int = 7, inner: float = 0.7) -> tuple[dict, list[dict]]:
@@ -33,6 +33,7 @@ def tune(panel: DataFrame, features: list[str], trials: int = 25, horizon: int =
     if not trials or count.get("train", 0) < 500 or count.get("test", 0) < 200:
         return dict(DEFAULTS), []
     ready = VectorAssembler(inputCols=features, outputCol="features").transform(prepare_fold(rows, features)).withColumn("weight", F.lit(1.0)).cache()
+    checkpoint_folder(panel.sparkSession)
     rng, done = random.Random(seed), []
     for _ in range(trials):
         settings = suggest(rng)

@@ -807,8 +807,8 @@ def deflated_sharpe(spark, sf):
 def boosted_walk_forward(spark, sf):
     from barloom.operators.models import run_walk_forward
 
-    panel = _scored(spark, sf).na.drop(subset=["target", "vol20", "mom21"]).withColumn("fwd_ret", C("target"))
-    return run_walk_forward(panel, ["mom21", "vol20", "ret1"], {"maxIter": 3, "maxDepth": 2}, folds=2)[0]
+    panel = features.build_panel(_bars(spark, sf)).cache()
+    return run_walk_forward(panel, features.feature_columns(panel))[0]
 
 
 

@@ -37,3 +37,35 @@ def test_walk_forward_pools_every_fold(spark):
     oof, gain, folds = run_walk_forward(panel, ["a"], {"maxIter": 2, "maxDepth": 2}, folds=2)
     assert {"Boost", "DeepBoost", "AdaBoost", "Ensemble"} <= set(oof.columns) and len(folds) == 2 and "a" in gain
     assert oof.select("fold").distinct().count() == 2
+
+
+def test_default_rounds_and_search_ranges():
+    import random
+
+    from barloom.operators.models import regressors
+    from barloom.operators.tuning import suggest
+
+    models = regressors()
+    assert [(models[m].getMaxIter(), models[m].getStepSize()) for m in ("Boost", "DeepBoost")] == [(450, 0.035), (500, 0.04)]
+    assert (models["AdaBoost"].estimators, models["AdaBoost"].rate) == (250, 0.05)
+    rounds = {suggest(random.Random(k))["maxIter"] for k in range(300)}
+    assert rounds == set(range(200, 901, 50))
+
+
+def test_boosted_query_is_the_whole_walk(spark, sf, monkeypatch):
+    from barloom.operators import models
+    from barloom.plans.queries import boosted_walk_forward
+
+    seen = {}
+    monkeypatch.setattr(models, "run_walk_forward", lambda panel, features, *a, **k: seen.update(features=features, a=a, k=k) or [panel])
+    boosted_walk_forward(spark, sf)
+    assert len(seen["features"]) == 37 and not seen["a"] and not seen["k"]
+
+
+def test_many_trees_of_adaboost_keep_their_lineage_short(spark):
+    rows = spark.range(200).select((F.col("id") % 10).cast("double").alias("x"), F.lit(1.0).alias("weight")).withColumn("target", F.col("x") * 2 + F.rand(1))
+    ready = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    model = AdaBoostR2(25).fit(ready)
+    scored = model.transform(ready, "p")
+    assert len(model.trees) == 25 and scored.stat.corr("p", "target") > 0.9
+    assert scored._jdf.queryExecution().logical().toString().count("UDF") < 11
