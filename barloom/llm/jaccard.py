@@ -7,17 +7,20 @@ least a bound that follows from their sizes, so the matrix is multiplied with it
    each. Rows that share no head column with another text are done: most are.
 2. The other rows' whole sets are counted by column. Columns of one row alone can't overlap. In the order by rising
    document frequency, rows whose head holds only such columns are done too: what many documents share comes last.
-3. What is left is dealt into blocks around the smallest row of each head column. A block's product accumulates exact
-   overlap counts over slices of columns; pairs below their bound are discarded, the others are joined up.
-4. Pairs of rows that share a head column, but that the blocks have not connected, are counted exactly one by one.
+3. What is left is dealt into blocks by keys that similar rows mostly share. A block's product accumulates exact overlap
+   counts over slices of columns; pairs below their bound are discarded, the others' rows are joined up.
+4. Every head column is one more block, but for pairs that are connected or that sizes rule out: columns whose rows all
+   are are dropped, and those with more rows than a block holds are dealt into sub-blocks of row part by row part.
 
-Step 4 sees every pair that could still link two components, so no link between components is lost; pairs inside one
-component need no count. Components are contracted by joins; nothing about single documents reaches the driver.
+Step 4 covers every pair that could still link two components, so no link between components is lost; pairs inside one
+component need no count. A block sends at most one link for each of its rows. Components are contracted by joins; nothing
+about single documents reaches the driver.
 
 Defined results: null or blank text has an empty set, n_shingles 0, and is its own component; fewer words than a shingle
 has are one shingle; texts with one set of shingles link; the component of a null id is the smallest id it is linked
-with; rows with one id are kept; an empty table gives no rows; other columns are ignored. Shingles and texts are told
-apart by 64-bit hashes.
+with; rows with one id are kept; texts of any length are read whole, and what a task holds is bounded by BLOCK times SLICE
+columns or one row; an empty table gives no rows; other columns, whatever their names, are ignored. Shingles and texts are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,19 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import byte_table, map_rows, mixed, pieces, prepare, release, session_of, span_hashes, stored, string_bytes, text_or_empty, words
+from barloom.llm.common import byte_table, map_rows, mixed, pieces, prepare, session_of, span_hashes, stored, string_bytes, text_or_empty, words
 
 SHINGLE = 5
 #: Least Jaccard similarity of a link, in hundredths.
 PERCENT = 80
-#: Documents in one block of the product.
+#: Weight of the rows on one side of a block; a row weighs 1, and 1 more for each SLICE of its columns.
 BLOCK = 512
 #: Columns in one slice of a block's product.
 SLICE = 4096
+#: Keys by which rows are first dealt into blocks.
+ROUNDS = 3
 #: Rows of a small join side that may be broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
-#: Rows of one column that are held to count it; a column with more counts as that frequent.
-COUNTED = 100_000
+BROADCAST_ROWS = 200_000
+#: Postings that a task holds to combine those of one column.
+HELD = 1 << 21
+#: Postings of one column among those held that make it a candidate for the frequent ones.
+OFTEN = 64
 
 _rng = np.random.default_rng(5)
 _BYTE = byte_table(_rng)
@@ -125,31 +132,87 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
 
 
-def sharing(postings: DataFrame) -> DataFrame:
-    """The texts t that share as many of their head columns with others as a link needs.
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, HELD rows or more at a time."""
+    parts, size = [], 0
+    for batch in batches:
+        parts.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= HELD:
+            yield [np.concatenate(x) for x in zip(*parts)]
+            parts, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*parts)]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The same, but with all rows of a run of equal values of the first column together."""
+    rest = None
+    for columns in _held(batches):
+        columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns)]
+        inner = np.flatnonzero(columns[0] != columns[0][-1])
+        cut = inner[-1] + 1 if len(inner) else 0
+        if cut:
+            yield [c[:cut] for c in columns]
+        rest = [c[cut:] for c in columns]
+    if rest is not None:
+        yield rest
+
+
+def sharing(known: DataFrame) -> DataFrame:
+    """The texts t of known (t, n, head) that share as many of their head columns with others as a link needs.
 
     Of the columns that two linked rows share, the first 1 + spare(n) are in both heads, n being the smaller size, which is
-    at least 0.8 times the other.
+    at least 0.8 times the other. A column that a task finds in two texts is known to be shared: its rows are counted
+    there, and one row alone tells the others, so that no frequent column comes together in one task.
     """
+    names = ["k", "t", "n", "count"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s0, t0, n0, many0 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False  # the open run: its last text, whether it has others
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, t, n = (np.concatenate([x, c.to_numpy()]) for x, c in zip((s0, t0, n0), batch.columns))
-            if not len(s):
-                continue
-            starts = _runs(s)[:-1]
+            head = batch.column(2)
+            at = head.offsets.to_numpy()
+            t, n = (np.repeat(batch.column(k).to_numpy(), np.diff(at)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([head.values.slice(at[0], at[-1] - at[0]), pa.array(t), pa.array(n)], ["s", "t", "n"])
+
+    def rows(k, t, n, count) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int32()), pa.array(count, pa.int32())], names)
+
+    def counted(t, n) -> pa.RecordBatch:
+        found, where, count = np.unique(t, return_index=True, return_counts=True)
+        return rows(found, found, n[where], count)
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Single postings (count 0), marks of shared columns (n -1), and counts of a text's columns known to be shared."""
+        for s, t, n in _held(unpacked(batches)):
+            order = np.argsort(s)
+            s, t, n = s[order], t[order], n[order]
+            bounds = _runs(s)
             other = np.zeros(len(s), bool)
             other[1:] = (s[1:] == s[:-1]) & (t[1:] != t[:-1])
-            many = np.logical_or.reduceat(other, starts)
-            many[0] |= many0
-            found, where, count = np.unique(t[np.repeat(many, np.diff([*starts, len(s)]))], return_index=True, return_counts=True)
-            sizes = n[np.repeat(many, np.diff([*starts, len(s)]))][where]
-            s0, t0, n0, many0 = s[-1:], t[-1:], n[-1:], bool(many[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sizes, pa.int32()), pa.array(count, pa.int64())], ["t", "n", "count"])
-
-    shared = map_rows(postings.select("s", "t", "n").repartition("s").sortWithinPartitions("s", "t"), run, "t long, n int, count long")
-    total = shared.groupBy("t", "n").agg(F.sum("count").alias("count"))
+            shared = np.logical_or.reduceat(other, bounds[:-1])
+            many = np.repeat(shared, np.diff(bounds))
+            marks = s[bounds[:-1][shared]]
+            yield rows(s[~many], t[~many], n[~many], np.zeros((~many).sum(), np.int32))
+            yield rows(marks, np.zeros(len(marks), np.int64), np.full(len(marks), -1, np.int32), np.zeros(len(marks), np.int32))
+            yield counted(t[many], n[many])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, t, n, count in _whole(batches):
+            done = count > 0
+            yield rows(k[done], t[done], n[done], count[done])
+            k, t, n = k[~done], t[~done], n[~done]
+            if not len(k):
+                continue
+            starts = _runs(k)[:-1]
+            other = n < 0
+            other[1:] |= (k[1:] == k[:-1]) & (t[1:] != t[:-1])
+            many = np.repeat(np.logical_or.reduceat(other, starts), np.diff([*starts, len(k)])) & (n >= 0)
+            yield counted(t[many], n[many])
+
+    schema = "k long, t long, n int, count int"
+    dealt = map_rows(known.select("t", "n", "head").filter("size(head) > 0"), combined, schema).repartition("k").sortWithinPartitions("count", "k", "t")
+    total = map_rows(dealt, settled, schema).groupBy("t", "n").agg(F.sum("count").alias("count"))
     smaller = F.floor((F.col("n") * PERCENT + 99) / 100)
     return total.filter(F.col("count") >= 1 + F.floor(smaller / 12)).select("t")
 
@@ -171,22 +234,45 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     return map_rows(texts, run, "s long, t long, n int")
 
 
-def shared_columns(postings: DataFrame) -> DataFrame:
-    """(t, n, df, s) of the columns that at least two texts share; df is the number of those, COUNTED at most."""
+def frequent_columns(postings: DataFrame, total: int) -> DataFrame:
+    """(s): columns that hold one in 200,000 of all postings or more; so there are at most 200,000.
+
+    Counts leave out holdings with less than OFTEN rows of a column, so a column that is spread thin may be missing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (s,) in _held(batches):
+            found, count = np.unique(s, return_counts=True)
+            often = count >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(found[often], pa.int64()), pa.array(count[often], pa.int64())], ["s", "count"])
+
+    counts = map_rows(postings.select("s"), run, "s long, count long").groupBy("s").agg(F.sum("count").alias("count"))
+    return counts.filter(F.col("count") >= max(4 * OFTEN, -(-total // BROADCAST_ROWS))).select("s")
+
+
+def shared_columns(postings: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(t, n, df, s) of the columns that at least two texts share; df is the number of those.
+
+    The rows of frequent columns are not brought together: their df is the greatest number there is.
+    """
 
     def flush(parts: list, df: int) -> pa.RecordBatch:
         s, t, n = (np.concatenate(x) for x in zip(*parts))
         return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(n, pa.int32()), pa.array(np.full(len(s), df, np.int32)), pa.array(s, pa.int64())], ["t", "n", "df", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None  # of the open run: rows not yet sent, rows so far, its last (s, t)
+        held, size, last = [], 0, None  # rows of the open run, how many, its last (s, t)
 
         def close() -> Iterator[pa.RecordBatch]:
-            if held and size > 1:
-                yield flush(held, min(size, COUNTED))
+            if size > 1:
+                yield flush(held, size)
 
         for batch in batches:
-            s, t, n = (c.to_numpy() for c in batch.columns)
+            often = batch.column(3).to_numpy(zero_copy_only=False)
+            s, t, n = (c.to_numpy() for c in batch.columns[:3])
+            if often.any():
+                yield flush([(s[often], t[often], n[often])], (1 << 31) - 1)
+                s, t, n = s[~often], t[~often], n[~often]
             if not len(s):
                 continue
             keep = np.ones(len(s), bool)
@@ -204,37 +290,40 @@ def shared_columns(postings: DataFrame) -> DataFrame:
                 size += a
             if a < len(s):
                 yield from close()
-                held, size = [], 0
                 lengths = np.diff(bounds)
-                df = np.minimum(np.repeat(lengths, lengths), COUNTED).astype(np.int32)
+                df = np.repeat(lengths, lengths).astype(np.int32)
                 pick = np.flatnonzero(df[a : bounds[-2]] > 1) + a
                 if len(pick):
                     yield pa.RecordBatch.from_arrays([pa.array(t[pick], pa.int64()), pa.array(n[pick], pa.int32()), pa.array(df[pick], pa.int32()), pa.array(s[pick], pa.int64())], ["t", "n", "df", "s"])
                 a = bounds[-2]
                 held, size = [(s[a:].copy(), t[a:].copy(), n[a:].copy())], len(s) - a
-            if size >= COUNTED and held:
-                yield flush(held, COUNTED)
-                held = []
         yield from close()
 
-    return map_rows(postings.repartition("s").sortWithinPartitions("s", "t"), run, "t long, n int, df int, s long")
+    marked = postings.join(F.broadcast(frequent.withColumn("_often", F.lit(True))), "s", "left").select("s", "t", "n", F.coalesce("_often", F.lit(False)).alias("often"))
+    return map_rows(marked.repartition(F.when(F.col("often"), F.col("t")).otherwise(F.col("s"))).sortWithinPartitions("often", "s", "t"), run, "t long, n int, df int, s long")
 
 
 def near_rows(shared: DataFrame) -> DataFrame:
-    """t, n, head and items (shared columns, sorted) of the texts whose head by frequency has a shared column."""
+    """t, n, head, items (shared columns, sorted) and keys of the texts whose head by frequency has a shared column.
+
+    A key is the least of the items under a hash, so texts that link have one in common with the probability of their
+    similarity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
 
         def close(bounds: np.ndarray, t, n, s) -> pa.RecordBatch:
-            out: list = [[], [], [], []]
+            out: list = [[], [], [], [], []]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                size = int(n[a])
-                left = head_size(size) - (size - (b - a))  # the columns of this text alone come first in its head
+                size, columns = int(n[a]), s[a:b]
+                columns = columns[np.concatenate([[True], columns[1:] != columns[:-1]])]  # rows that repeat id and text
+                left = head_size(size) - (size - len(columns))  # the columns of this text alone come first in its head
                 if left > 0:
-                    for x, v in zip(out, (t[a], size, s[a : a + left], np.sort(s[a:b]))):
+                    keys = np.array([mixed(columns.view(np.uint64) * m).min() for m in _PLACE[:ROUNDS]]).view(np.int64)
+                    for x, v in zip(out, (t[a], size, columns[:left], np.sort(columns), keys)):
                         x.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), _lists(out[2]), _lists(out[3])], ["t", "n", "head", "items"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *map(_lists, out[2:])], ["t", "n", "head", "items", "keys"])
 
         for batch in batches:
             t, n, s = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns))
@@ -246,189 +335,181 @@ def near_rows(shared: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield close(np.array([0, len(rest[0])]), *rest)
 
-    return map_rows(shared.repartition("t").sortWithinPartitions("t", "df", "s").select("t", "n", "s"), run, "t long, n int, head array<long>, items array<long>")
-
-
-def centres(near: DataFrame) -> DataFrame:
-    """(t, g): g is the smallest text, by size, that shares a head column and is not too small for a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s0 = g0 = gn0 = None
-        for batch in batches:
-            g, gn = [], []
-            t_, n_ = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for s, t, n in zip(batch.column(0).to_pylist(), t_, n_):
-                if s != s0 or 100 * gn0 < PERCENT * n:
-                    s0, g0, gn0 = s, t, n
-                g.append(g0)
-                gn.append(gn0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(gn, pa.int32()), pa.array(g, pa.int64())], ["t", "gn", "g"])
-
-    by_column = near.select(F.explode("head").alias("s"), "t", "n").repartition("s").sortWithinPartitions("s", "n", "t")
-    return map_rows(by_column, run, "t long, gn int, g long").groupBy("t").agg(F.min(F.struct("gn", "g")).alias("least")).select("t", F.col("least.g").alias("g"))
-
-
-def product(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of every two sets: the incidence matrix times its transpose, accumulated over slices of columns."""
-    m = len(sets)
-    if m == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
-    columns, at = np.unique(np.concatenate(sets), return_inverse=True)
-    rows = np.repeat(np.arange(m), [len(x) for x in sets])
-    order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[order]
-    out = np.zeros((m, m), np.float32)
-    for low in range(0, len(columns), SLICE):
-        a, b = np.searchsorted(at, (low, low + SLICE))
-        part = np.zeros((m, min(SLICE, len(columns) - low)), np.float32)
-        part[rows[a:b], at[a:b] - low] = 1
-        out += part @ part.T
+    return map_rows(shared.repartition("t").sortWithinPartitions("t", "df", "s").select("t", "n", "s"), run, "t long, n int, head array<long>, items array<long>, keys array<long>")
+
+
+def product(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of every set of one with every set of two: incidence times incidence, over slices of columns."""
+    out = np.zeros((len(one), len(two)))
+    sides = [one] if one is two else [one, two]
+    columns = [np.concatenate([np.zeros(0, np.int64), *sets]) for sets in sides]
+    if len(sides) == 2:
+        common = np.intersect1d(*columns)
+    else:
+        common, count = np.unique(columns[0], return_counts=True)
+        common = common[count > 1]
+        np.fill_diagonal(out, [len(x) for x in one])
+    places = []
+    for values, sets in zip(columns, sides):
+        at = np.searchsorted(common, values)
+        hit = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == values) if len(common) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], row[order], len(sets)))
+    for low in range(0, len(common), SLICE):
+        parts = []
+        for at, row, m in places:
+            a, b = np.searchsorted(at, (low, low + SLICE))
+            part = np.zeros((m, min(SLICE, len(common) - low)), np.float32)
+            part[row[a:b], at[a:b] - low] = 1
+            parts.append(part)
+        both = parts[0] @ parts[-1].T
+        if one is two:
+            np.fill_diagonal(both, 0)
+        out += both
     return out.astype(np.int64)
 
 
-def _component(linked: np.ndarray) -> np.ndarray:
-    """The first row of each row's component, from a symmetric matrix of links."""
-    label = np.arange(len(linked))
+def first_linked(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of the component of each row and each column of a matrix of links; len(linked) for columns without."""
+    none = len(linked)
+    row, column = np.arange(none), np.full(linked.shape[1], none)
     while True:
-        new = np.where(linked, label, len(label)).min(1)
-        new = np.minimum(new, label)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+        new_column = np.where(linked, row[:, None], none).min(0, initial=none)
+        new_row = np.minimum(row, np.where(linked, new_column[None, :], none).min(1, initial=none))
+        new_row = new_row[new_row]
+        if (new_row == row).all() and (new_column == column).all():
+            return row, column
+        row, column = new_row, new_column
 
 
 def block_links(blocked: DataFrame) -> DataFrame:
-    """(t, to) from the products of blocks (g, part, t, n, items): each text and the first of its component in its block."""
+    """(a, b) from the products of blocks (g, part, side, t, n, items): texts with the first of their component in a block.
+
+    Rows of side 0 meet those of side 1; rows of side 2 meet one another. A row has one link at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
-        def close() -> pa.RecordBatch:
-            t, n, sets = (list(x) for x in zip(*(r[1:] for r in held)))
-            size = np.array(n, np.int64)
-            first = _component(links(product(sets), size[:, None], size[None, :])).tolist() if len(t) > 1 else [0]
-            return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array([t[i] for i in first], pa.int64())], ["t", "to"])
+        def close() -> Iterator[pa.RecordBatch]:
+            sides = [[r for r in held if r[1] == k] for k in range(3)]
+            one, two = (sides[2], sides[2]) if sides[2] else sides[:2]
+            if not one or not two or len(held) < 2:
+                return
+            n1, n2 = (np.array([r[3] for r in x], np.int64) for x in (one, two))
+            possible = 100 * np.minimum(n1[:, None], n2[None, :]) >= PERCENT * np.maximum(n1[:, None], n2[None, :])
+            if not possible.any():
+                return
+            sets = [r[4] for r in one]
+            linked = possible & links(product(sets, sets if one is two else [r[4] for r in two]), n1[:, None], n2[None, :])
+            t1, t2 = (np.array([r[2] for r in x], np.int64) for x in (one, two))
+            row, column = first_linked(linked)
+            pairs = [(t1[i], t1[row[i]]) for i in np.flatnonzero(row != np.arange(len(row)))]
+            if one is not two:
+                pairs += [(t2[i], t1[column[i]]) for i in np.flatnonzero(column < len(row))]
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            values, offsets = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
-            g, part, t, n = (batch.column(k).to_pylist() for k in range(4))
+            values, offsets = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+            g, part, side, t, n = (batch.column(k).to_pylist() for k in range(5))
             for i in range(batch.num_rows):
                 if held and held[0][0] != (g[i], part[i]):
-                    yield close()
+                    yield from close()
                     held = []
-                held.append(((g[i], part[i]), t[i], n[i], values[offsets[i] : offsets[i + 1]].copy()))
+                held.append(((g[i], part[i]), side[i], t[i], n[i], values[offsets[i] : offsets[i + 1]].copy()))
         if held:
-            yield close()
+            yield from close()
 
-    rows = blocked.select("g", "part", "t", "n", "items").repartition("g", "part").sortWithinPartitions("g", "part", "n", "t")
-    return map_rows(rows, run, "t long, to long")
+    rows = blocked.select("g", "part", "side", "t", "n", "items").repartition("g", "part").sortWithinPartitions("g", "part")
+    return map_rows(rows, run, "a long, b long")
 
 
-def _parted(members: DataFrame) -> DataFrame:
-    """(t, g, part, parts) of members (t, g) of blocks of two or more; larger ones than BLOCK are dealt by hash into parts."""
-    sizes = members.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("parts"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    return members.join(sizes, "g").select("t", "g", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("part"), "parts")
+def _weight(items: str = "items"):
+    return (F.lit(1) + F.floor(F.size(items) / SLICE)).cast("long")
 
 
-def _with_sets(near: DataFrame, dealt: DataFrame) -> DataFrame:
-    return near.select("t", "n", "items").join(dealt.select("t", "g", "part"), "t")
+def _parts(weight):
+    return F.ceil(weight / F.lit(float(BLOCK))).cast("int")
 
 
-def _outlying(dealt: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(t, g, part): blocks that bring the texts outside a divided block's main component together with all its parts.
+def _dealt(near: DataFrame, labels: DataFrame, number: int) -> DataFrame:
+    """(t, g, part, side): the first text of each label with one key, in parts of about BLOCK weight dealt by hash."""
+    rows = near.select("t", _weight().alias("weight"), F.col("keys")[number].alias("g")).join(labels, "t", "left")
+    first = rows.groupBy("g", F.coalesce("label", "t").alias("label")).agg(F.min(F.struct("t", "weight")).alias("first")).select("g", "first.*")
+    parts = first.groupBy("g").agg(_parts(F.sum("weight")).alias("parts"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    return first.join(parts, "g").select("t", "g", F.pmod(F.xxhash64(F.lit(number), "t"), F.col("parts")).alias("part"), F.lit(2).alias("side"))
 
-    Without labels no text is linked yet, and each is its own component.
-    """
-    wide = dealt.filter("parts > 1")
-    wide = wide.withColumn("label", F.col("t")) if labels is None else wide.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
-    count = wide.groupBy("g", "label").agg(F.count("*").alias("c"))
-    main = count.groupBy("g").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size")).select("g", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("rest")).filter("rest > 0")
-    placed = wide.join(main, "g").withColumn("chunks", F.ceil(F.col("rest") / F.lit(float(BLOCK))).cast("int"))
-    chunk = F.pmod(F.xxhash64(F.lit(1), "t"), F.col("chunks")).cast("int")
-    inner = placed.filter("label = main").select("t", "g", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"), "parts")
-    outer = placed.filter("label != main").select("t", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "part", "parts", chunk.alias("own"), "chunks")
-    # An outlying text meets each part's other texts in the block of its own chunk, and the outlying ones of that part too.
-    met = outer.filter("p != part").select("t", "g", "p", F.col("own").alias("k"), "parts").union(outer.filter("p = part").select("t", "g", "p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"), "parts"))
-    return inner.union(met).distinct().select("t", "g", (F.col("k") * F.col("parts") + F.col("p")).cast("int").alias("part"))
-
-
-def contract(edges: DataFrame) -> DataFrame | None:
+
+def contract(edges: DataFrame) -> DataFrame:
     """(t, label): every end of edges (a, b) with its component's label. Each round maps a text to its least neighbour."""
     maps: list[DataFrame] = []
     while True:
         both = edges.filter("a != b").select("a", "b").union(edges.filter("a != b").select("b", "a")).distinct()
         least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "jaccard-least")
+        maps.append(least)
         if least.isEmpty():
             break
-        maps.append(least)
         one, two = least.select(F.col("a"), F.col("m").alias("ma")), least.select(F.col("a").alias("b"), F.col("m").alias("mb"))
         edges = stored(edges.join(one, "a").join(two, "b").filter("ma != mb").select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct(), "jaccard-edges")
-    if not maps:
-        return None
+        if edges.isEmpty():
+            break
     out = maps[0].select(F.col("a").alias("t"), F.col("m").alias("label"))
     for m in maps[1:]:
         out = out.join(m.withColumnRenamed("a", "label"), "label", "left").select("t", F.coalesce("m", "label").alias("label"))
     return stored(out, "jaccard-labels")
 
 
-def unconnected(near: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that share a head column, have sizes that allow a link, and have different labels and blocks."""
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    return contract(labels.select(F.col("t").alias("a"), F.col("label").alias("b")).union(edges))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-        def pairs(t, n, label, block) -> Iterator[pa.RecordBatch]:
-            if len(t) < 2 or (label == label[0]).all() or (block == block[0]).all():
-                return
-            names, count = np.unique(label, return_counts=True)
-            main = label == names[count.argmax()]  # pairs inside the largest component are never formed
-            few, size = np.flatnonzero(~main), n.astype(np.int64)
-            for low in range(0, len(few), 256):
-                i = few[low : low + 256]
-                ok = (label[i, None] != label[None, :]) & (block[i, None] != block[None, :]) & (100 * np.minimum(size[i, None], size[None, :]) >= PERCENT * np.maximum(size[i, None], size[None, :]))
-                ok &= main[None, :] | (t[i, None] < t[None, :])
-                x, y = np.nonzero(ok)
-                if len(x):
-                    a, b = t[i[x]], t[y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+#: Bits of a row's class in a head column's block: pairs whose classes share a bit need no product.
+MAIN, OWN, SMALLER = 4, 2, 1
 
-        for batch in batches:
-            columns = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
-            if not len(columns[0]):
-                continue
-            bounds = _runs(columns[0])
-            for a, b in zip(bounds[:-2].tolist(), bounds[1:-1].tolist()):
-                if b - a > 1:
-                    yield from pairs(*(x[a:b] for x in columns[1:]))
-            rest = [x[bounds[-2] :].copy() for x in columns]
-        if len(rest[0]) > 1:
-            yield from pairs(*rest[1:])
-
-    rows = near.select(F.explode("head").alias("s"), "t", "n").join(members, "t")
-    rows = rows.withColumn("label", F.col("t")) if labels is None else rows.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
-    return map_rows(rows.select("s", "t", "n", "label", "g").repartition("s").sortWithinPartitions("s", "n", "t"), run, "a long, b long").distinct()
-
-
-def counted_links(near: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact overlap reaches their bound."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column(4), batch.column(5)
-            v1, o1, v2, o2 = one.values.to_numpy(), one.offsets.to_numpy(), two.values.to_numpy(), two.offsets.to_numpy()
-            overlap = [len(np.intersect1d(v1[o1[i] : o1[i + 1]], v2[o2[i] : o2[i + 1]], assume_unique=True)) for i in range(batch.num_rows)]
-            ok = links(np.array(overlap, np.int64), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64))
-            yield batch.select([0, 1]).filter(pa.array(ok))
-
-    sets = near.select("t", "n", "items")
-    both = pairs.join(sets.toDF("a", "na", "ia"), "a").join(sets.toDF("b", "nb", "ib"), "b").select("a", "b", "na", "nb", "ia", "ib")
-    return map_rows(both, run, "a long, b long")
+def remaining(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, g, part, side): sub-blocks that cover every pair that shares a head column, may link and is not connected.
 
-
-def _edges(linked: DataFrame) -> DataFrame:
-    return linked.filter("t != to").select(F.col("t").alias("a"), F.col("to").alias("b"))
+    A block is a head column and a band of sizes, the band's own rows and, as smaller ones, those of the band below. Three
+    kinds of pairs in it need no product: those of the most frequent label; those of smaller rows, which meet in the band
+    below; and those where both rows have more columns that no other text has than a link leaves room for (a link of
+    overlap I needs 5 I >= 4 U, and U is at least I plus the own columns of both). Blocks where no pair is left, and those
+    with the same rows as another, are dropped. Small blocks are multiplied whole; in larger ones the rows of each class are
+    dealt into parts, and a sub-block is a part by a part of a class that shares no bit with the first's.
+    """
+    band = F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))
+    own = F.col("n") - F.size("items")
+    rows = near.select("t", "n", _weight().alias("weight"), F.explode("head").alias("s"), (2 * PERCENT * own > (100 - PERCENT) * F.size("items")).alias("own"), band.alias("band"))
+    rows = rows.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("band") - 1e-9), F.floor(F.col("band") + 1 + 1e-9))))
+    bits = F.when(F.col("own"), OWN).otherwise(0) + F.when(F.col("k") > F.floor("band"), SMALLER).otherwise(0)
+    rows = rows.select("s", "k", "t", "label", "weight", bits.alias("bits"))
+    sums = [F.sum(F.when(F.col("bits") == c, F.col("weight")).otherwise(0)).alias(f"c{c}") for c in range(4)]
+    sums += [F.bit_xor(F.xxhash64(F.lit(i), "t", "bits")).alias(f"x{i}") for i in range(2)]
+    by_label = rows.groupBy("s", "k", "label").agg(F.count("*").alias("size"), *sums)
+    totals = [F.sum(f"c{c}").alias(f"c{c}") for c in range(4)] + [F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)]
+    largest = F.max(F.struct("size", "label", "c0", "c1", "c2", "c3")).alias("m")
+    blocks = by_label.groupBy("s", "k").agg(F.sum("size").alias("size"), F.count("*").alias("labels"), *totals, largest).filter("labels > 1 and c0 + c1 > 0 and c0 + c2 > 0")
+    blocks = blocks.groupBy("size", "x0", "x1").agg(F.min(F.struct("s", "k", "m", "c0", "c1", "c2", "c3")).alias("b")).select("b.*")
+    small = F.expr(f"c0 + c1 + c2 + c3 <= {BLOCK}")
+    parts = [F.col(f"c{c}") - F.col(f"m.c{c}") for c in range(4)] + [F.col(f"m.c{c}") for c in range(4)]
+    blocks = stored(blocks.select("s", "k", small.alias("small"), F.col("m.label").alias("main"), F.array(*[_parts(p) for p in parts]).alias("parts")), "jaccard-blocks")
+    few = blocks.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(blocks) if few else blocks, ["s", "k"])
+    rows = rows.select("t", F.xxhash64("s", "k").alias("g"), "small", "parts", (F.col("bits") + F.when(F.col("label") == F.col("main"), MAIN).otherwise(0)).alias("c"))
+    whole = rows.filter("small").select("t", "g", F.lit(-1).cast("bigint").alias("part"), F.lit(2).alias("side"))
+    others = "flatten(transform(sequence(0, 7), d -> if((c & d) = 0 and parts[d] > 0, transform(sequence(0, parts[d] - 1), q -> q * 8 + d), array())))"
+    placed = rows.filter("not small").withColumn("own", F.pmod(F.xxhash64("t"), F.expr("parts[c]")) * 8 + F.col("c")).withColumn("other", F.explode(F.expr(others)))
+    pair = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    return whole.union(placed.select("t", "g", pair.alias("part"), side.alias("side")))
+
+
+def _products(near: DataFrame, dealt: DataFrame) -> DataFrame:
+    return block_links(near.select("t", "n", "items").join(dealt, "t"))
 
 
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -437,32 +518,21 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     prepare(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("t"), text_or_empty(text_column).alias("text"))
     known = stored(heads(rows), "jaccard-heads", "snappy")
-    near_texts = sharing(known.select(F.explode("head").alias("s"), "t", "n"))
     # One row of each text goes on, whichever partitions its copies are in.
-    chosen = stored(known.groupBy("t").agg(F.min("id").alias("_id")).join(near_texts, "t").withColumnRenamed("t", "_t"), "jaccard-sharing")
-    few = chosen.count() <= BROADCAST_ROWS
-    release(spark)
-    again = rows.join(F.broadcast(chosen) if few else chosen, (F.col("t") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t", "text")
-    near = stored(near_rows(shared_columns(whole_sets(again))), "jaccard-near", "snappy")
-    members = stored(centres(near), "jaccard-centres")
-    dealt = stored(_parted(members), "jaccard-dealt")
-    first = stored(block_links(_with_sets(near, dealt)), "jaccard-links")
-    edges = _edges(first)
-    labels = None
-    if not dealt.filter("parts > 1").isEmpty():
-        # Texts that stand for their component in a part of a divided block meet in one more block, then the others do.
-        stand = members.join(first.filter("t = to").select("t"), "t", "left_semi").join(dealt.filter("parts > 1").select("t"), "t", "left_semi")
-        edges = stored(edges.union(_edges(block_links(_with_sets(near, _parted(stand))))), "jaccard-edges")
-        edges = stored(edges.union(_edges(block_links(_with_sets(near, _outlying(dealt, contract(edges)))))), "jaccard-edges")
-    labels = contract(edges)
-    pairs = unconnected(near, members, labels)
-    late = stored(counted_links(near, pairs), "jaccard-late")
-    if not late.isEmpty():
-        labels = contract(edges.union(late))
+    chosen = known.groupBy("t").agg(F.min("id").alias("_id"), F.max("n").alias("_n")).join(sharing(known), "t").withColumnRenamed("t", "_t")
+    chosen = stored(chosen, "jaccard-sharing")
+    count, total = chosen.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    again = rows.join(F.broadcast(chosen) if count <= BROADCAST_ROWS else chosen, (F.col("t") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t", "text")
+    postings = whole_sets(again)
+    frequent = stored(frequent_columns(postings, total), "jaccard-frequent")
+    near = stored(near_rows(shared_columns(postings, frequent)), "jaccard-near", "snappy")
+    labels = spark.createDataFrame([], "t long, label long")
+    for number in range(ROUNDS):
+        labels = _joined(labels, _products(near, stored(_dealt(near, labels, number), "jaccard-dealt")))
+    labels = _joined(labels, stored(_products(near, remaining(near, labels)), "jaccard-late"))
     known = known.select("id", "t", "n")
-    label = F.col("t") if labels is None else F.coalesce("label", "t")
     least = known.filter("n > 0").groupBy("t").agg(F.min("id").alias("least"))  # one row for each text
-    least = (least if labels is None else least.join(labels, "t", "left")).select("t", "least", label.alias("label"))
+    least = least.join(labels, "t", "left").select("t", "least", F.coalesce("label", "t").alias("label"))
     whole = least.groupBy("label").agg(F.min("least").alias("component"))
     by_text = least.select("t", "label").join(whole, "label").select("t", "component")
     out = known.join(by_text, "t", "left")
