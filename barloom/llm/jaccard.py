@@ -42,7 +42,7 @@ BLOCK = 512
 #: Columns in one slice of a block's product.
 SLICE = 4096
 #: Keys by which rows are first dealt into blocks.
-ROUNDS = 3
+ROUNDS = 2
 #: Rows of a small join side that may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Postings that a task holds to combine those of one column.
@@ -431,15 +431,11 @@ def _weight(items: str = "items"):
     return (F.lit(1) + F.floor(F.size(items) / SLICE)).cast("long")
 
 
-def _parts(weight):
-    return F.ceil(weight / F.lit(float(BLOCK))).cast("int")
-
-
 def _dealt(near: DataFrame, labels: DataFrame, number: int) -> DataFrame:
     """(t, g, part, side): the first text of each label with one key, in parts of about BLOCK weight dealt by hash."""
     rows = near.select("t", _weight().alias("weight"), F.col("keys")[number].alias("g")).join(labels, "t", "left")
     first = rows.groupBy("g", F.coalesce("label", "t").alias("label")).agg(F.min(F.struct("t", "weight")).alias("first")).select("g", "first.*")
-    parts = first.groupBy("g").agg(_parts(F.sum("weight")).alias("parts"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    parts = first.groupBy("g").agg(F.ceil(F.sum("weight") / F.lit(float(BLOCK))).cast("int").alias("parts"), F.count("*").alias("size")).filter("size > 1").drop("size")
     return first.join(parts, "g").select("t", "g", F.pmod(F.xxhash64(F.lit(number), "t"), F.col("parts")).alias("part"), F.lit(2).alias("side"))
 
 
@@ -450,8 +446,6 @@ def contract(edges: DataFrame) -> DataFrame:
         both = edges.filter("a != b").select("a", "b").union(edges.filter("a != b").select("b", "a")).distinct()
         least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "jaccard-least")
         maps.append(least)
-        if least.isEmpty():
-            break
         one, two = least.select(F.col("a"), F.col("m").alias("ma")), least.select(F.col("a").alias("b"), F.col("m").alias("mb"))
         edges = stored(edges.join(one, "a").join(two, "b").filter("ma != mb").select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct(), "jaccard-edges")
         if edges.isEmpty():
@@ -462,50 +456,78 @@ def contract(edges: DataFrame) -> DataFrame:
     return stored(out, "jaccard-labels")
 
 
-def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    return contract(labels.select(F.col("t").alias("a"), F.col("label").alias("b")).union(edges))
+def _edges(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("t").alias("a"), F.col("label").alias("b"))
 
 
-#: Bits of a row's class in a head column's block: pairs whose classes share a bit need no product.
+#: Bits of a row's class in a block: pairs whose classes share a bit need no product.
 MAIN, OWN, SMALLER = 4, 2, 1
 
 
-def remaining(near: DataFrame, labels: DataFrame) -> DataFrame:
+def _class_sums():
+    return [F.sum(F.when(F.col("bits") == c, F.col("weight")).otherwise(0)).alias(f"c{c}") for c in range(4)]
+
+
+def _with_main(by_label: DataFrame, *keys: str) -> DataFrame:
+    """Of each block: sums over its labels, the most frequent label `main`, and the parts of its eight classes."""
+    most = F.max(F.struct("size", "label", "c0", "c1", "c2", "c3")).alias("m")
+    more = [f(c).alias(c) for f, c in ((F.min, "met0"), (F.max, "met1"), (F.bit_xor, "x0"), (F.bit_xor, "x1"), (F.sum, "blocks")) if c in by_label.columns]
+    out = by_label.groupBy(*keys).agg(F.sum("size").alias("size"), F.count("*").alias("labels"), *more, *(F.sum(f"c{c}").alias(f"c{c}") for c in range(4)), most)
+    parts = [F.ceil((F.col(f"c{c}") - F.col(f"m.c{c}")) / F.lit(float(BLOCK))).cast("int") for c in range(4)] + [F.ceil(F.col(f"m.c{c}") / F.lit(float(BLOCK))).cast("int") for c in range(4)]
+    return out.withColumns({"main": F.col("m.label"), "small": F.expr(f"c0 + c1 + c2 + c3 <= {BLOCK}"), "parts": F.array(*parts)}).drop("m")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(t, g, part, side) of rows (t, g, c, small, parts): a small block whole, others by part and part of classes that meet."""
+    whole = rows.filter("small").select("t", "g", F.lit(-1).cast("bigint").alias("part"), F.lit(2).alias("side"))
+    others = "flatten(transform(sequence(0, 7), d -> if((c & d) = 0 and parts[d] > 0, transform(sequence(0, parts[d] - 1), q -> q * 8 + d), array())))"
+    placed = rows.filter("not small").withColumn("own", F.pmod(F.xxhash64("t"), F.expr("parts[c]")) * 8 + F.col("c")).withColumn("other", F.explode(F.expr(others)))
+    pair = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    return whole.union(placed.select("t", "g", pair.alias("part"), side.alias("side")))
+
+
+def _class(label: str = "label"):
+    return (F.col("bits") + F.when(F.col(label) == F.col("main"), MAIN).otherwise(0)).alias("c")
+
+
+def remaining(near: DataFrame, labels: DataFrame, dealt: DataFrame) -> DataFrame:
     """(t, g, part, side): sub-blocks that cover every pair that shares a head column, may link and is not connected.
 
-    A block is a head column and a band of sizes, the band's own rows and, as smaller ones, those of the band below. Three
-    kinds of pairs in it need no product: those of the most frequent label; those of smaller rows, which meet in the band
-    below; and those where both rows have more columns that no other text has than a link leaves room for (a link of
-    overlap I needs 5 I >= 4 U, and U is at least I plus the own columns of both). Blocks where no pair is left, and those
-    with the same rows as another, are dropped. Small blocks are multiplied whole; in larger ones the rows of each class are
-    dealt into parts, and a sub-block is a part by a part of a class that shares no bit with the first's.
+    `dealt` are blocks in which all rows have met already. A block is a head column and a band of sizes, the band's own rows
+    and, as smaller ones, those of the band below. Three kinds of pairs in it need no product: those of the most frequent
+    label; those of smaller rows, which meet in the band below; and those where both rows have more columns that no other
+    text has than a link leaves room for (a link of overlap I needs 5 I >= 4 U, and U is at least I plus the own columns of
+    both). Blocks where no pair is left, and those with the same rows as another, are dropped.
+
+    The texts that columns join, however far, are a family. A family whose parts are fewer than the blocks that its texts
+    are in is one block in place of those, so that each text is sent less often. Small blocks are multiplied whole; in
+    larger ones the rows of each class are dealt into parts, and a sub-block is a part by a part of a class that shares no
+    bit with the first's.
     """
     band = F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))
     own = F.col("n") - F.size("items")
     rows = near.select("t", "n", _weight().alias("weight"), F.explode("head").alias("s"), (2 * PERCENT * own > (100 - PERCENT) * F.size("items")).alias("own"), band.alias("band"))
-    rows = rows.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    met = dealt.select("t", F.xxhash64("g", "part").alias("met"))
+    rows = rows.join(labels, "t", "left").join(met, "t", "left").withColumns({"label": F.coalesce("label", "t"), "met": F.coalesce("met", "t")})
     rows = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("band") - 1e-9), F.floor(F.col("band") + 1 + 1e-9))))
     bits = F.when(F.col("own"), OWN).otherwise(0) + F.when(F.col("k") > F.floor("band"), SMALLER).otherwise(0)
-    rows = rows.select("s", "k", "t", "label", "weight", bits.alias("bits"))
-    sums = [F.sum(F.when(F.col("bits") == c, F.col("weight")).otherwise(0)).alias(f"c{c}") for c in range(4)]
-    sums += [F.bit_xor(F.xxhash64(F.lit(i), "t", "bits")).alias(f"x{i}") for i in range(2)]
-    by_label = rows.groupBy("s", "k", "label").agg(F.count("*").alias("size"), *sums)
-    totals = [F.sum(f"c{c}").alias(f"c{c}") for c in range(4)] + [F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)]
-    largest = F.max(F.struct("size", "label", "c0", "c1", "c2", "c3")).alias("m")
-    blocks = by_label.groupBy("s", "k").agg(F.sum("size").alias("size"), F.count("*").alias("labels"), *totals, largest).filter("labels > 1 and c0 + c1 > 0 and c0 + c2 > 0")
-    blocks = blocks.groupBy("size", "x0", "x1").agg(F.min(F.struct("s", "k", "m", "c0", "c1", "c2", "c3")).alias("b")).select("b.*")
-    small = F.expr(f"c0 + c1 + c2 + c3 <= {BLOCK}")
-    parts = [F.col(f"c{c}") - F.col(f"m.c{c}") for c in range(4)] + [F.col(f"m.c{c}") for c in range(4)]
-    blocks = stored(blocks.select("s", "k", small.alias("small"), F.col("m.label").alias("main"), F.array(*[_parts(p) for p in parts]).alias("parts")), "jaccard-blocks")
+    rows = rows.select("s", "k", "t", "label", "met", "weight", bits.alias("bits"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "t", "bits")).alias(f"x{i}") for i in range(2)]
+    by_label = rows.groupBy("s", "k", "label").agg(F.count("*").alias("size"), F.min("met").alias("met0"), F.max("met").alias("met1"), *marks, *_class_sums())
+    blocks = _with_main(by_label, "s", "k").filter("labels > 1 and met0 < met1 and c0 + c1 > 0 and c0 + c2 > 0")
+    blocks = blocks.groupBy("size", "x0", "x1").agg(F.min(F.struct("s", "k", "main", "small", "parts")).alias("b")).select("b.*")
+    blocks = stored(blocks, "jaccard-blocks")
     few = blocks.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(blocks) if few else blocks, ["s", "k"])
-    rows = rows.select("t", F.xxhash64("s", "k").alias("g"), "small", "parts", (F.col("bits") + F.when(F.col("label") == F.col("main"), MAIN).otherwise(0)).alias("c"))
-    whole = rows.filter("small").select("t", "g", F.lit(-1).cast("bigint").alias("part"), F.lit(2).alias("side"))
-    others = "flatten(transform(sequence(0, 7), d -> if((c & d) = 0 and parts[d] > 0, transform(sequence(0, parts[d] - 1), q -> q * 8 + d), array())))"
-    placed = rows.filter("not small").withColumn("own", F.pmod(F.xxhash64("t"), F.expr("parts[c]")) * 8 + F.col("c")).withColumn("other", F.explode(F.expr(others)))
-    pair = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
-    return whole.union(placed.select("t", "g", pair.alias("part"), side.alias("side")))
+    rows = stored(rows.drop("met").join(F.broadcast(blocks) if few else blocks, ["s", "k"]), "jaccard-rows")
+    first = rows.groupBy("s", "k").agg(F.min("t").alias("b"))
+    family = contract(rows.join(F.broadcast(first) if few else first, ["s", "k"]).select(F.col("t").alias("a"), "b").distinct()).withColumnRenamed("label", "family")
+    texts = rows.groupBy("t").agg(F.first("label").alias("label"), F.first("weight").alias("weight"), F.min(F.col("bits").bitwiseAND(OWN)).alias("bits"), F.count("*").alias("blocks")).join(family, "t")
+    families = _with_main(texts.groupBy("family", "label").agg(F.count("*").alias("size"), F.sum("blocks").alias("blocks"), *_class_sums()), "family")
+    families = families.filter(F.col("small") | (F.aggregate("parts", F.lit(0), lambda a, x: a + x) * F.col("size") <= F.col("blocks"))).select("family", "main", "small", "parts")
+    together = stored(texts.join(families, "family").select("t", F.xxhash64("family").alias("g"), _class(), "small", "parts"), "jaccard-families")
+    apart = rows.join(together.select("t"), "t", "left_anti").select("t", F.xxhash64("s", "k").alias("g"), _class(), "small", "parts")
+    return _placed(together).union(_placed(apart))
 
 
 def _products(near: DataFrame, dealt: DataFrame) -> DataFrame:
@@ -527,9 +549,15 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     frequent = stored(frequent_columns(postings, total), "jaccard-frequent")
     near = stored(near_rows(shared_columns(postings, frequent)), "jaccard-near", "snappy")
     labels = spark.createDataFrame([], "t long, label long")
-    for number in range(ROUNDS):
-        labels = _joined(labels, _products(near, stored(_dealt(near, labels, number), "jaccard-dealt")))
-    labels = _joined(labels, stored(_products(near, remaining(near, labels)), "jaccard-late"))
+    dealt = first = stored(_dealt(near, labels, 0), "jaccard-dealt")
+    found = stored(_products(near, dealt), "jaccard-links")  # a text is in one block, so these are components as they are
+    labels = found.toDF("t", "label")
+    for number in range(1, ROUNDS):
+        dealt = stored(_dealt(near, labels, number), "jaccard-dealt")
+        labels = contract(_edges(labels).union(_products(near, dealt)))
+    late = stored(_products(near, remaining(near, labels, first)), "jaccard-late")
+    if not late.isEmpty():
+        labels = contract(_edges(labels).union(late))
     known = known.select("id", "t", "n")
     least = known.filter("n > 0").groupBy("t").agg(F.min("id").alias("least"))  # one row for each text
     least = least.join(labels, "t", "left").select("t", "least", F.coalesce("label", "t").alias("label"))
