@@ -87,13 +87,48 @@ def test_empty_table_of_documents(spark):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(0, 60), st.integers(1, 6), min_size=1, max_size=8), st.integers(0, 400))
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 6), min_size=1, max_size=8), st.integers(0, 400))
 def test_budget_is_filled_as_well_as_can_be(counts, budget):
     lengths = sorted(counts)
     many = [counts[x] for x in lengths]
     take = mixing.fit_budget(lengths, many, budget)
     assert all(0 <= k <= n for k, n in zip(take, many))
-    assert sum(x * k for x, k in zip(lengths, take)) <= max(budget, 0)
+    sums = {0}
+    for length, n in counts.items():
+        sums = {s + length * k for s in sums for k in range(n + 1)}
+    assert sum(x * k for x, k in zip(lengths, take)) == max(s for s in sums if s <= budget)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1, max_size=8), st.integers(0, 3000))
+def test_budget_beyond_what_the_program_gets_at_first(counts, budget):
+    whole, mixing.EXACT = mixing.EXACT, 16
+    try:
+        lengths = sorted(counts)
+        take = mixing.fit_budget(lengths, [counts[x] for x in lengths], budget)
+    finally:
+        mixing.EXACT = whole
+    reach = 1
+    for length, n in counts.items():
+        for _ in range(n):
+            reach |= reach << length
+    assert all(0 <= k <= counts[x] for k, x in zip(take, lengths))
+    assert sum(x * k for x, k in zip(lengths, take)) == (reach & (1 << budget + 1) - 1).bit_length() - 1
+
+
+def test_mix_splits_rows_that_repeat(spark):
+    """A source of copies of one row meets its target to within one row's size; clashing names do no harm."""
+    rows = [(1, "w " * 7, "a")] * 40 + [(i, "v " * 3, "b") for i in range(100, 140)] + [(None, "u u", None)] * 9
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("id", "h", "n", "size", "cut", "own", "_id", "_h", "_copies", "times")})
+    got = mixing.mix(frame).collect()
+    by = defaultdict(lambda: [0, 0.0])
+    for r in got:
+        by[r["size"]][0] += r["taken"]
+        by[r["size"]][1] = r["target"]
+    assert len(got) == len(rows) and all(abs(t - want) <= s for s, (t, want) in by.items())
+    made = mixing.mixed_documents(frame)
+    assert made.columns == frame.columns
+    assert {r["text"]: r["count"] for r in made.groupBy("text").count().collect()} == {t: by[len(t.split())][0] // len(t.split()) for _, t, _ in rows}
 
 
 def test_mix_meets_its_targets(spark):
