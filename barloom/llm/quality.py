@@ -2,12 +2,14 @@
 
 Words and neighbouring word pairs are hashed into buckets. Counts over every document give the raw multinomial, counts
 over trusted documents the target's, smoothed towards the raw one by PRIOR words. A document's score is the mean over its
-n-grams of log(target / raw). The counts are of one half of the trusted documents; the threshold is the score
-that all but the share LOST of the other half reach, so it follows from the tables alone, and every document is held against it. Column functions only.
+n-grams of log(target / raw). The threshold is the score that all but the share LOST of the trusted documents reach, each
+scored by the counts of the half it is not in; so it follows from the tables alone, by one rule at every size, and every
+document is held against it. Column functions only.
 
 Defined results: null text has no words; a document that fails a base rule is not kept, whatever its score; without
-trusted documents every ratio is 1 and only the base rules count; an empty table gives no rows; repeated rows are scored
-alike; other columns are kept.
+trusted documents every ratio is 1 and only the base rules count; scores are compared in steps of 1 / GRID, and a tie with
+the threshold is kept; texts of any length are read whole, and their repeated words are counted exactly; an empty table
+gives no rows; repeated rows are scored alike; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import session_of, text_or_empty
+from barloom.llm.common import stored, text_or_empty
 
 SPACE = " \t\n\x0b\f\r"
 #: Hash buckets, whose weights travel as one constant of the query.
@@ -26,12 +28,10 @@ BUCKETS = 8192
 PRIOR = 20_000
 #: Share of trusted documents that the threshold may refuse.
 LOST = 0.005
-#: Trusted rows that are used, about; more are thinned by a hash of their id.
+#: Trusted rows that are counted, about; more are thinned by a hash of their id. The threshold is set by all of them.
 TRUSTED_ROWS = 100_000
-#: Times 1 / n of the distance from the middle score that the threshold is lowered by, for n scores.
-FREE = 10
-#: Words a text may have for three-word windows to be packed with their place into one long; longer texts use pairs.
-PACKED = 1 << 20
+#: Steps of the score in 1.
+GRID = 10_000
 
 
 #: Columns that judge() adds.
@@ -53,33 +53,39 @@ def _covered(starts: Column) -> Column:
 def with_repeated_words(worded: DataFrame) -> DataFrame:
     """with_words() and n_repeat_words: the words in three-word windows found twice or more.
 
-    Windows are sorted by hash, so that equal ones are neighbours. Each array is a column of its own: what a lambda
-    function refers to must be an attribute, or it would be computed again for every element.
+    Windows are sorted by hash, in one long with their place, so that equal ones are neighbours; then their words are
+    compared. A text where windows of one hash differ has its windows sorted by their words. Each array is a column of its
+    own: what a lambda function refers to must be an attribute, or it would be computed again for every element.
     """
     n = F.size("_h")
     window = lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2))
+    left = lambda x: F.call_function("shiftleft", x, F.col("_bits"))
+    same = lambda a, b: F.coalesce(F.call_function("shiftright", a.bitwiseXOR(b), F.col("_bits")) == 0, F.lit(False))
+    place = lambda x: x.bitwiseAND(F.col("_mask")).cast("int")
+    word = lambda x, k: F.get("_words", place(x) + k)
     places = F.sequence(F.lit(0), n - 3)
 
-    def twice(keys: str, same) -> Column:
-        return F.filter(keys, lambda x, j: ((j > 0) & same(F.get(keys, F.greatest(j - 1, F.lit(0))), x)) | same(F.get(keys, j + 1), x))
+    def neighbours(keys: str, equal) -> Column:
+        return F.filter(keys, lambda x, j: ((j > 0) & equal(F.get(keys, F.greatest(j - 1, F.lit(0))), x)) | equal(F.get(keys, j + 1), x))
 
-    packed = F.transform(places, lambda i: F.shiftleft(window(i), 20).bitwiseOR(i.cast("long")))
-    pairs = F.transform(places, lambda i: F.struct(window(i).alias("h"), i.alias("i")))
-    keyed = worded.withColumns({"_short": F.when((n > 3) & (n < PACKED), F.sort_array(packed)), "_long": F.when(n >= PACKED, F.sort_array(pairs))})
-    found = keyed.withColumns(
-        {
-            "_short": F.transform(twice("_short", lambda a, b: F.coalesce(F.shiftright(a.bitwiseXOR(b), 20) == 0, F.lit(False))), lambda x: x.bitwiseAND(PACKED - 1).cast("int")),
-            "_long": F.transform(twice("_long", lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))), lambda x: x["i"]),
-        }
-    )
-    count = F.coalesce(_covered(F.sort_array("_short")), _covered(F.sort_array("_long")), F.lit(0))
-    return found.withColumn("n_repeat_words", count.cast("long")).drop("_short", "_long")
+    bits = F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1.0)).cast("int")
+    keyed = worded.withColumn("_bits", bits).withColumn("_mask", left(F.lit(1).cast("long")) - 1)
+    keyed = keyed.withColumn("_keys", F.when(n > 3, F.sort_array(F.transform(places, lambda i: left(window(i)).bitwiseOR(i.cast("long"))))))
+    found = keyed.withColumn("_twice", neighbours("_keys", same))
+    differ = lambda a, b: same(a, b) & ((word(a, 0) != word(b, 0)) | (word(a, 1) != word(b, 1)) | (word(a, 2) != word(b, 2)))
+    met = F.exists(F.sequence(F.lit(1), F.size("_twice") - 1), lambda j: differ(F.get("_twice", j - 1), F.get("_twice", j)))
+    found = found.withColumn("_met", F.when(F.size("_twice") > 1, met).otherwise(F.lit(False)))
+    exact = F.transform(places, lambda i: F.struct(*(F.get("_words", i + k).alias(f"w{k}") for k in range(3)), i.alias("i")))
+    found = found.withColumn("_exact", F.when(F.col("_met"), F.sort_array(exact)))
+    alike = lambda a, b: F.coalesce((a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]), F.lit(False))
+    found = found.withColumn("_starts", F.when(F.col("_met"), F.transform(neighbours("_exact", alike), lambda x: x["i"])).otherwise(F.transform("_twice", place)))
+    count = F.coalesce(_covered(F.sort_array("_starts")), F.lit(0))
+    return found.withColumn("n_repeat_words", count.cast("long")).drop("_bits", "_mask", "_keys", "_twice", "_met", "_exact", "_starts")
 
 
-def with_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with _text, _words and _h (the words' hashes)."""
-    first = docs.withColumn("_text", text_or_empty(text_column)).withColumn("_words", words_of(F.col("_text")))
-    return first.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+def with_words(docs: DataFrame) -> DataFrame:
+    """docs with _words of _text and _h (the words' hashes)."""
+    return docs.withColumn("_words", words_of(F.col("_text"))).withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
 
 
 def with_base_rules(worded: DataFrame) -> DataFrame:
@@ -104,19 +110,28 @@ def buckets(hashes: Column) -> Column:
     return F.when(F.size(hashes) > 1, F.concat(one, pair)).otherwise(one)
 
 
-def ratio_weights(worded: DataFrame, trusted: DataFrame, id_column: str) -> list[float]:
-    """log(target / raw) of each bucket; the driver gets one row for each bucket."""
-    marked = worded.join(F.broadcast(trusted), worded[id_column] == F.col("_trusted"), "left")
-    each = marked.select(F.explode(buckets(F.col("_h"))).alias("b"), F.col("_trusted").isNotNull().cast("long").alias("in_target"))
-    rows = each.groupBy("b").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target")).collect()
-    raw, target = [1] * BUCKETS, [0] * BUCKETS
+def ratio_weights(worded: DataFrame, trusted: DataFrame) -> list[list[float]]:
+    """log(target / raw) of each bucket: by both halves of trusted (_id, _half), by the first, by the second.
+
+    The driver gets one row for each bucket.
+    """
+    marked = worded.join(F.broadcast(trusted.withColumnRenamed("_id", "_trusted")), F.col("_id") == F.col("_trusted"), "left")
+    each = marked.select(F.explode(buckets(F.col("_h"))).alias("b"), "_half")
+    halves = [F.sum((F.col("_half") == k).cast("long")).alias(f"t{k}") for k in (0, 1)]
+    rows = each.groupBy("b").agg(F.count("*").alias("raw"), *halves).collect()
+    raw, target = [1] * BUCKETS, [[0] * BUCKETS for _ in range(3)]
     for r in rows:
         raw[r["b"]] += r["raw"]
-        target[r["b"]] = r["target"]
-    all_raw, all_target = sum(raw), sum(target)
-    if not all_target:
-        return [0.0] * BUCKETS
-    return [math.log((t + PRIOR * n / all_raw) / (all_target + PRIOR) * all_raw / n) for n, t in zip(raw, target)]
+        for k in (0, 1):
+            target[1 + k][r["b"]] = r[f"t{k}"] or 0
+            target[0][r["b"]] += r[f"t{k}"] or 0
+    all_raw = sum(raw)
+
+    def weights(counts: list[int]) -> list[float]:
+        size = sum(counts)
+        return [math.log((t + PRIOR * n / all_raw) / (size + PRIOR) * all_raw / n) if size else 0.0 for n, t in zip(raw, counts)]
+
+    return [weights(t) for t in target]
 
 
 def score(hashes: Column, weights: list[float]) -> Column:
@@ -127,28 +142,50 @@ def score(hashes: Column, weights: list[float]) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """`_trusted`: distinct ids of documents of quality 1, TRUSTED_ROWS of them at most, about."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
-    n = good.count()
-    return good if n <= TRUSTED_ROWS else good.filter(F.pmod(F.xxhash64("_trusted"), F.lit(1 << 20)) < int((1 << 20) * TRUSTED_ROWS / n))
+    """_id and _half (0 or 1) of the distinct documents of quality 1."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
+    return good.withColumn("_half", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)).cast("int"))
+
+
+def steps(value: Column) -> Column:
+    """The score as a whole number of steps."""
+    return F.round(value * GRID).cast("long")
+
+
+def threshold(docs: DataFrame, trusted: DataFrame, n: int, weights: list[list[float]]) -> int | None:
+    """The step that all but the share LOST of trusted documents of 50 words or more reach, scored by the other half's weights.
+
+    The driver gets one row for each step that is found.
+    """
+    wide = with_words(docs)
+    scored = lambda rows: rows.filter(F.size("_h") >= 50).select("_id", *(score(F.col("_h"), w).alias(f"s{k}") for k, w in enumerate(weights[1:])))
+    if n <= TRUSTED_ROWS:
+        found = scored(wide.join(F.broadcast(trusted.select("_id")), "_id", "left_semi")).join(F.broadcast(trusted), "_id")
+    else:  # ids and scores are moved, not texts
+        found = scored(wide).join(trusted, "_id")
+    own = F.when(F.col("_half") == 0, F.col("s1")).otherwise(F.col("s0"))
+    counts = sorted((r["s"], r["n"]) for r in found.groupBy(steps(own).alias("s")).agg(F.count("*").alias("n")).collect())
+    below, lost = 0, LOST * sum(c for _, c in counts)
+    for step, c in counts:
+        below += c
+        if below > lost:
+            return step
+    return None
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the columns RESULTS, in place of columns of those names."""
-    trusted = trusted_ids(labels).cache()
-    half = F.pmod(F.xxhash64(F.lit("half"), "_trusted"), F.lit(2))
-    worded = with_words(docs, text_column)
-    weights = ratio_weights(worded, trusted.filter(half == 0), id_column)
-    # The threshold comes from trusted documents that the counts have not seen, as they have not seen the others.
-    unseen = docs.join(F.broadcast(trusted.filter(half == 1)), docs[id_column] == F.col("_trusted"), "left_semi")
-    scores = with_words(unseen, text_column).filter(F.size("_h") >= 50).select(score(F.col("_h"), weights).alias("s"))
-    q = scores.agg(F.percentile("s", LOST).alias("low"), F.percentile("s", 0.5).alias("mid"), F.count("*").alias("n")).first()
-    trusted.unpersist()
-    # Few scores say little about their tail: 1 / n of the way from the middle is left free, FREE times.
-    least = None if q["low"] is None else q["low"] - (q["mid"] - q["low"]) * min(1.0, FREE / q["n"])
+    extra = {c: f"x{i}" for i, c in enumerate(docs.columns) if c not in RESULTS}  # names that clash with none here
+    plain = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in extra.items()), F.col(id_column).alias("_id"), text_or_empty(text_column).alias("_text"))
+    trusted = stored(trusted_ids(labels), "quality-trusted")
+    n = trusted.count()
+    counted = trusted if n <= TRUSTED_ROWS else trusted.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * TRUSTED_ROWS / n))
+    worded = with_words(plain)
+    weights = ratio_weights(worded, counted)
+    least = threshold(plain.select("_id", "_text"), trusted, n, weights) if any(weights[0]) else None
     # A filter on a result must not be moved below the arrays: it would put their expressions inside each other's lambda
     # functions. Filters are not moved below a column that depends on the partition, so every result refers to one.
-    scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights)).withColumn("_here", F.spark_partition_id() >= 0)
-    passed = F.lit(True) if least is None else F.col("score") >= F.lit(least)
+    scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights[0])).withColumn("_here", F.spark_partition_id() >= 0)
+    passed = F.lit(True) if least is None else steps(F.col("score")) >= F.lit(least)
     judged = scored.withColumn("kept", ~F.col("base_failed") & passed)
-    return judged.withColumns({c: F.when(F.col("_here"), F.col(c)) for c in RESULTS}).drop("_text", "_words", "_h", "_here")
+    return judged.select(*(F.col(x).alias(c) for c, x in extra.items()), *(F.when(F.col("_here"), F.col(c)).alias(c) for c in RESULTS))
