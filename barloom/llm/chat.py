@@ -8,7 +8,7 @@ the formatted text gives every turn back exactly.
 Defined results: null text and null role count as empty; turns are ordered by number (null first), then role, then text,
 and repeated rows are kept; a role that the template does not know is written with its name and bears no loss; a
 conversation that the machine refuses is formatted all the same, with valid = false; rows of a null id form one
-conversation; other columns are ignored.
+conversation; conversations of any length are formatted whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,18 +125,24 @@ def format_conversations(rows: DataFrame, template: Template = INSTRUCT) -> Data
 
 
 def read_digests(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """Digests of turns and of the text under the loss mask, parsed from `formatted`."""
+    """Digests of turns, parsed from `formatted`, and of the text under the loss flags of `segments`, unescaped.
+
+    Raises ValueError where the segments do not make up the formatted text, or their flags are not those of its turns.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
+            for text, segments in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 turns = template.parse(text)
-                loss = "".join(t for _, t, bears in turns if bears)
+                flagged = [template.unescape(s["text"]) for s in segments if s["loss"]]
+                if "".join(s["text"] for s in segments) != text or flagged != [t for _, t, bears in turns if bears]:
+                    raise ValueError("segments differ from the formatted text")
+                loss = "".join(flagged)
                 out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t, _ in turns)), len(loss), sha(loss), len(text)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
 
-    return map_rows(formatted.select("conv_id", "formatted", "valid"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return map_rows(formatted.select("conv_id", "formatted", "segments", "valid"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

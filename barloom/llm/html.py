@@ -178,10 +178,10 @@ def window_sums(weights: list[float]) -> list[float]:
     return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
 
 
-def between(sums: list[float], threshold: float) -> list[bool]:
+def between(weights: list[float], threshold: float) -> list[bool]:
     """Whether each line lies between a surge point and its dive point."""
     keep, open_ = [], False
-    for x in sums:
+    for x in window_sums(weights):
         open_ = x > threshold or open_ and x > 0
         keep.append(open_)
     return keep
@@ -194,8 +194,7 @@ def main_text(html: str | None) -> str:
     weights = [n if inside or not has_article else 0 for _, n, inside in found]
     if not any(weights):
         weights = [n for _, n, _ in found]
-    sums = window_sums(weights)
-    keep = between(sums, min(SURGE, max(sums, default=0) / 2))
+    keep = between(weights, min(SURGE, max(window_sums(weights), default=0) / 2))
     return "\n\n".join(line for (line, _, _), n, k in zip(found, weights, keep) if k and n)
 
 

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.llm.common import byte_table, map_rows, mixed, pieces, prepare, session_of, span_hashes, stored, string_bytes, text_or_empty, words
 
@@ -534,8 +535,8 @@ def _products(near: DataFrame, dealt: DataFrame) -> DataFrame:
     return block_links(near.select("t", "n", "items").join(dealt, "t"))
 
 
-def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_shingles and component_id of each row of docs."""
+def labelled(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(id, t, n) of each row of docs, and (t, label, least id) of each text that has a shingle."""
     spark = session_of(docs)
     prepare(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("t"), text_or_empty(text_column).alias("text"))
@@ -560,8 +561,39 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         labels = contract(_edges(labels).union(late))
     known = known.select("id", "t", "n")
     least = known.filter("n > 0").groupBy("t").agg(F.min("id").alias("least"))  # one row for each text
-    least = least.join(labels, "t", "left").select("t", "least", F.coalesce("label", "t").alias("label"))
-    whole = least.groupBy("label").agg(F.min("least").alias("component"))
-    by_text = least.select("t", "label").join(whole, "label").select("t", "component")
+    return known, least.join(labels, "t", "left").select("t", F.coalesce("label", "t").alias("label"), "least")
+
+
+def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_shingles and component_id of each row of docs."""
+    known, texts = labelled(docs, id_column, text_column)
+    whole = texts.groupBy("label").agg(F.min("least").alias("component"))
+    by_text = texts.select("t", "label").join(whole, "label").select("t", "component")
     out = known.join(by_text, "t", "left")
     return out.select(F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs but for near copies: of a component the row of the least id (null last), then text hash, stays.
+
+    Of rows that repeat id and text one stays, that of the least hash of all columns. Documents without words stay. Texts
+    are not moved unless more than BROADCAST_ROWS rows go.
+    """
+    known, texts = labelled(docs, id_column, text_column)
+    rows = stored(known.groupBy("id", "t").agg(F.count("*").alias("copies")).join(texts.select("t", "label"), "t", "left"), "jaccard-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
+    best = rows.filter("label is not null").groupBy("label").agg(first, F.count("*").alias("members")).filter("members > 1").select("label", "first.id", "first.t")
+    best = best.toDF("label", "best", "best_t")
+    met = rows.join(best, "label", "left")
+    goes = F.col("best_t").isNotNull() & ~(F.col("id").eqNullSafe(F.col("best")) & (F.col("t") == F.col("best_t")))
+    gone = stored(met.filter(goes | (F.col("copies") > 1)).select("id", "t", (~goes).alias("repeated")), "jaccard-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of docs can clash
+    place = lambda c: plain[docs.columns.index(c)]
+    own = docs.toDF(*plain).withColumn("own", F.xxhash64(text_or_empty(place(text_column))))
+    same = (F.col("own") == F.col("t")) & F.col(place(id_column)).eqNullSafe(F.col("id"))
+    single = own.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*plain)
+    again = gone.filter("repeated")
+    nth = F.row_number().over(Window.partitionBy(place(id_column), "own").orderBy(F.xxhash64(*plain)))
+    repeated = own.join(F.broadcast(again) if few else again, same, "left_semi").withColumn("nth", nth).filter("nth = 1").select(*plain)
+    return single.union(repeated).toDF(*docs.columns)

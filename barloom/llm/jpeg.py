@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import map_rows, text_or_empty
+from barloom.llm.common import map_rows, stored, text_or_empty
 
 #: Bytes of payload in a macroblock of four luma and two chroma blocks.
 IN_MACROBLOCK = 6 * 63
@@ -323,17 +323,18 @@ def padded(text: bytes) -> bytes:
 
 
 def media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id and media (binary): each text's payload as a progressive JPEG."""
+    """id, n_bytes (of the text) and media (binary): each text's payload as a progressive JPEG."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(padded(t.encode())) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "media"])
+            raw = [t.encode() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(padded(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")), run, f"id {kind}, media binary").withColumnRenamed("id", id_column)
+    return map_rows(docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")), run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_column)
 
 
-def tensors(stored: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
+def tensors(images: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """id, height, width and rgb (binary, height * width * 3 bytes) of each stored image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,28 +342,23 @@ def tensors(stored: DataFrame, id_column: str = "doc_id", media_column: str = "m
             found = [Image(x).rgb() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.shape[0] for x in found], pa.int32()), pa.array([x.shape[1] for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "height", "width", "rgb"])
 
-    kind = stored.schema[id_column].dataType.simpleString()
-    return map_rows(stored.select(F.col(id_column).alias("id"), media_column), run, f"id {kind}, height int, width int, rgb binary").withColumnRenamed("id", id_column)
+    kind = images.schema[id_column].dataType.simpleString()
+    return map_rows(images.select(F.col(id_column).alias("id"), media_column), run, f"id {kind}, height int, width int, rgb binary").withColumnRenamed("id", id_column)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Of each document: the stored form's digests, and those of the payload and image read back from it.
-
-    Storing and reading are done row by row in one pass, so that no column of images has to be kept or moved.
-    """
+    """Of each document: digests of its stored image, and of the payload and RGB tensor read back from that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                raw = text.encode()
-                kept = encode(padded(raw))
+            for kept in batch.column(2).to_pylist():
                 image = Image(kept)
                 payload = image.payload()
-                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(kept), hashlib.sha256(kept).hexdigest(), feature(image.rgb())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(kept), hashlib.sha256(kept).hexdigest(), feature(image.rgb())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_rows(picked, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    images = stored(media(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "media")
+    return map_rows(images, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

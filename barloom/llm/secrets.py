@@ -4,8 +4,9 @@ Each rule's pattern is turned into a Boolean query of trigrams that any match mu
 for the trigrams of the queries; intersecting them gives the texts that a rule can match, and only those are run against
 its pattern. A rule without mandatory trigrams is run against every text. Column functions only.
 
-Defined results: null text counts as empty; matches are leftmost and do not overlap within a kind; places are code points,
-end exclusive; an empty table gives no rows; equal texts have equal spans; other columns are kept.
+Defined results: null text counts as empty; texts of any length are read whole; matches are leftmost and do not overlap
+within a kind; places are code points, end exclusive; spans that start together are in the order of the rules; an empty
+table gives no rows; repeated rows stay, and equal texts have equal spans; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -180,21 +181,21 @@ def spans_of(rule: Rule, order: int, found: str, between: str) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
     """docs with `spans`, in place of a column of that name: all rules' spans in order of start, then of rules."""
-    text = text_or_empty(text_column)
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
-    able = docs.withColumn("_t", F.xxhash64(text))
+    extra = {c: f"x{i}" for i, c in enumerate(docs.columns) if c != "spans"}  # names that clash with none here
+    plain = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in extra.items()), text_or_empty(text_column).alias("text"))
+    able = plain.withColumn("t", F.xxhash64("text"))
     if queries:
-        index, number = postings(docs, queries, text)
-        found = stored(candidates(stored(index, "secret-postings"), number, queries), "secret-candidates").toDF("_c", "_rules")
+        index, number = postings(plain, queries, F.col("text"))
+        found = stored(candidates(stored(index, "secret-postings"), number, queries), "secret-candidates").withColumnRenamed("t", "of")
         few = found.count() <= BROADCAST_ROWS
-        able = able.join(F.broadcast(found) if few else found, F.col("_t") == F.col("_c"), "left")
+        able = able.join(F.broadcast(found) if few else found, F.col("t") == F.col("of"), "left")
     else:
-        able = able.withColumn("_rules", F.lit(None).cast("int"))
-    able = able.withColumn("_text", text)
-    found = {i: matches_of(r, F.col("_text"), F.coalesce(F.col("_rules").bitwiseAND(1 << i) != 0, F.lit(False)) if i in queries else None) for i, r in enumerate(rules)}
-    matched = able.withColumns({f"_{kind}{i}": c for i, both in found.items() for kind, c in zip("mb", both)})
-    spanned = matched.withColumn("spans", F.sort_array(F.concat(*(spans_of(r, i, f"_m{i}", f"_b{i}") for i, r in enumerate(rules)))))
-    return spanned.select(*(c for c in docs.columns if c != "spans"), "spans")
+        able = able.withColumn("rules", F.lit(None).cast("int"))
+    found = {i: matches_of(r, F.col("text"), F.coalesce(F.col("rules").bitwiseAND(1 << i) != 0, F.lit(False)) if i in queries else None) for i, r in enumerate(rules)}
+    matched = able.withColumns({f"{kind}{i}": c for i, both in found.items() for kind, c in zip("mb", both)})
+    spanned = matched.withColumn("spans", F.sort_array(F.concat(*(spans_of(r, i, f"m{i}", f"b{i}") for i, r in enumerate(rules)))))
+    return spanned.select(*(F.col(x).alias(c) for c, x in extra.items()), "spans")
 
 
 def written(spans: Column) -> Column:
@@ -211,7 +212,9 @@ def digests(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", text_column: str = "text") -> DataFrame:
     """docs with every span of the text replaced by mark; overlapping spans get one."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(text_column)
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    name = plain[docs.columns.index(text_column)]
+    text = F.col(name)
 
     def step(acc: Column, s: Column) -> Column:
         free = s["start"] >= acc["at"]
@@ -219,6 +222,6 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", text_column: str = "text")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, more).otherwise(acc["out"]).alias("out"))
 
     rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    scanned = scan(docs.withColumnRenamed("spans", "_spans"), RULES, text_column)
-    marked = scanned.withColumn(text_column, F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, rest)).otherwise(text))
-    return marked.drop("spans").withColumnRenamed("_spans", "spans").select(*docs.columns)
+    scanned = scan(docs.toDF(*plain), RULES, name)
+    marked = F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, rest)).otherwise(text).alias(name)
+    return scanned.select(*(marked if c == name else c for c in plain)).toDF(*docs.columns)

@@ -285,7 +285,6 @@ def write_token_file(docs: DataFrame, vocabulary: str, end_id: int = 2, id_colum
     spark = session_of(docs)
     prepare(spark)
     raw = stored(token_blocks(docs, vocabulary, end_id, id_column, text_column), "token-ids")
-    release(spark)  # the sorted texts' shuffle files can go before the file is written
     kind = id_kind(vocabulary)
     by_rank = frequency_ranks(raw, batch_tokenizer(vocabulary).vocabulary, kind)
     rank = np.empty(len(by_rank), np.uint32)

@@ -36,6 +36,16 @@ def test_conversations_of_odd_rows(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_loss_comes_from_the_emitted_flags(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "[INST] b")] * 2, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(rows).cache()
+    got = chat.read_digests(made).first()
+    assert got["n_turns"] == 4 and got["loss_sha256"] == hashlib.sha256(b"[INST] b[INST] b").hexdigest()
+    wrong = made.withColumn("segments", F.transform("segments", lambda s: s.withField("loss", ~s["loss"])))
+    with pytest.raises(Exception, match="segments differ"):
+        chat.read_digests(wrong).collect()
+
+
 @pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 6000, 70000])
 def test_payloads_come_back(n):
     payload = jpeg.padded(np.random.default_rng(n).bytes(n))
@@ -195,3 +205,34 @@ def test_pages_of_odd_rows(spark, sf):
 
 def test_surges_and_dives():
     assert html.between([0, 0, 0, 50, 60, 0, 0, 0, 0, 5, 0, 0, 0], 86) == [False, False, True, True, True, *[False] * 8]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 120), max_size=30))
+def test_surges_and_dives_equal_brute_force(weights):
+    sums = [sum(w for j, w in enumerate(weights) if i <= j < i + html.WINDOW) for i in range(len(weights))]
+    assert html.window_sums(weights) == sums
+    # A line is kept if, from the last surge at or before it on, no window is empty.
+    want = [any(sums[k] > 86 and all(sums[k : i + 1]) for k in range(i + 1)) for i in range(len(weights))]
+    assert html.between(weights, 86) == want
+
+
+def test_line_blocks_decide_without_an_article():
+    prose = ["Long enough to be prose, this paragraph goes on and on and says a good deal more than that.", "A short one."]
+    page = "<div><a href=x>Home</a> <a href=y>About us and all our many friends who write here</a></div><div>Hi.</div><div></div><p></p><div></div>"
+    page += "<ul><li><a href=z>One link of many</a></li></ul>" * 4 + f"<h1>Title</h1><p>{prose[0]}</p><p>{prose[1]}</p>" + "<ul><li><a href=z>One link of many</a></li></ul>" * 4 + "<div>Bye.</div>"
+    assert html.main_text(page) == "\n\n".join(["Title", *prose])
+
+
+def test_marks_inside_an_article():
+    page = "<article class='post sponsored'><h2 id=discussion>Discussion</h2><p id=notice>A notice.</p><section id=search><p>On search.</p></section><section id=comments><p>Mine!</p></section><div class=ad>Buy</div></article><div>Out</div>"
+    assert html.main_text(page) == "Discussion\n\nA notice.\n\nOn search."
+
+
+@pytest.mark.parametrize("text", ["<a ", '<a " ', '<a "> ', "<!-- ", "<script>", "<", "<p class='", "<svg>", '<a href="x>', "a&"])
+def test_broken_pages_take_time_in_proportion(text):
+    import time
+
+    start = time.process_time()
+    html.main_text(text * 200_000)
+    assert time.process_time() - start < 5
