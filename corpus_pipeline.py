@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to token ids, in stages that each keep the columns of documents but the last.
 
 Every stage works on all that its predecessor kept. Rows with a null text count as empty; an empty table stays empty;
-columns besides those of documents are carried along. Of rows that repeat an id and a text, the second stage keeps one.
+columns besides those of documents are carried along, whatever their names. Of rows that repeat an id and a text, the
+second stage keeps one; if they differ in other columns, that of the least hash of all of them.
 """
 
 from __future__ import annotations
@@ -16,16 +17,15 @@ from barloom.llm.common import stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio against trusted ones."""
-    apart = {c: f"_{c}" for c in docs.columns if c in quality.RESULTS}  # names that the judgement needs
-    kept = quality.judge(docs.withColumnsRenamed(apart), table(spark, sf_dir, "labels")).filter("kept")
-    return kept.drop(*quality.RESULTS).withColumnsRenamed({b: a for a, b in apart.items()}).select(*docs.columns)
+    apart = [f"c{i}" for i in range(len(docs.columns))]  # names that are none of the judgement's
+    ids, texts = (apart[docs.columns.index(c)] for c in ("doc_id", "text"))
+    kept = quality.judge(docs.toDF(*apart), table(spark, sf_dir, "labels"), ids, texts).filter("kept")
+    return kept.select(*apart).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near copies."""
-    found = jaccard.components(docs)
-    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each component of near copies: that of the smallest id, and of the smallest text hash if ids repeat."""
+    return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
