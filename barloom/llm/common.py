@@ -30,7 +30,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's checkpoint folder, which all executors share."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = "/tmp/checkpoints/barloom"  # only where no cluster names one, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "/tmp/checkpoints/barloom"  # one machine, as in tests
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

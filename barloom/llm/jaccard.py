@@ -583,8 +583,8 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = stored(known.groupBy("id", "t").agg(F.count("*").alias("copies")).join(texts.select("t", "label"), "t", "left"), "jaccard-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
     best = rows.filter("label is not null").groupBy("label").agg(first, F.count("*").alias("members")).filter("members > 1").select("label", "first.id", "first.t")
-    best = best.toDF("label", "best", "best_t")
-    met = rows.join(best, "label", "left")
+    best = stored(best.toDF("label", "best", "best_t"), "jaccard-best")
+    met = rows.join(F.broadcast(best) if best.count() <= BROADCAST_ROWS else best, "label", "left")
     goes = F.col("best_t").isNotNull() & ~(F.col("id").eqNullSafe(F.col("best")) & (F.col("t") == F.col("best_t")))
     gone = stored(met.filter(goes | (F.col("copies") > 1)).select("id", "t", (~goes).alias("repeated")), "jaccard-gone")
     few = gone.count() <= BROADCAST_ROWS

@@ -9,8 +9,8 @@ in each block; the payload's length is in a comment segment, and spaces fill the
 Scans whose every symbol is the same one-bit code have fixed places for all values, and are read by array operations;
 whether a scan is such is seen from its bits, and any other scan is read symbol by symbol.
 
-Defined results: null text counts as empty, and its payload is 192 spaces; equal texts have equal values; an empty table
-gives no rows; other columns are ignored.
+Defined results: null text counts as empty, and its payload is 192 spaces; texts of any length are stored whole; equal
+texts have equal values; repeated rows are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
