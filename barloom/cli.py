@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from barloom.plans.research import Config, run
+from barloom.plans.research import REPORTS, Config, Run
 from barloom.sources.bars import load_prices, save_report
 
 
@@ -23,17 +23,11 @@ def main(args: list[str] | None = None) -> None:
     o = p.parse_args(args)
     spark = SparkSession.builder.appName("barloom").getOrCreate()
     config = Config(start=o.start, end=o.end, horizon=o.horizon, folds=o.folds, embargo=o.embargo, trials=o.n_trials, quantile=o.quantile, vol_target=o.vol_target, **({"tickers": o.tickers} if o.tickers else {}))
-    result = run(spark, config, load_prices(spark, o.prices) if o.prices else None)
-    card = result.scorecard()
-    for name, value in card.items():
-        print(f"{name:>22} {value:.4f}")
-    frames = {
-        "leaderboard": spark.createDataFrame(result.leaderboard()), "scorecard": spark.createDataFrame([(k, float(v)) for k, v in card.items()], "metric string, value double"),
-        "costs": result.costs(), "var": result.risk(), "regimes": result.regimes(), "folds": spark.createDataFrame(result.folds),
-        "params": spark.createDataFrame([(k, str(v)) for k, v in result.settings.items()], "name string, value string"),
-    }
-    for name, frame in frames.items():
-        save_report(frame, f"{o.out}/{name}")
+    result = Run(spark, config, load_prices(spark, o.prices) if o.prices else None)
+    for row in result.report("scorecard").collect():
+        print(f"{row['metric']:>22} {row['value']:.4f}")
+    for name in REPORTS:
+        save_report(result.report(name), f"{o.out}/{name}")
     result.oof.write.mode("overwrite").parquet(f"{o.out}/oof")
 
 

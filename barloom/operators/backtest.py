@@ -27,8 +27,12 @@ def rank_ic(frame: DataFrame, pred: str = "pred", target: str = "target", least:
 
 
 def smoothed(scores: DataFrame, score: str = "pred", span: int = 3) -> DataFrame:
-    """(date, ticker, smooth) on the dense grid: exponential means whose weights decay over missing dates too."""
-    grid = dense(scores).join(scores.select("date", "ticker", score), ["date", "ticker"], "left")
+    """(date, ticker, smooth) on the dense grid: exponential means whose weights decay over missing dates too.
+
+    Scores of one date and ticker count as their mean.
+    """
+    scores = scores.groupBy("date", "ticker").agg(F.avg(score).alias(score))
+    grid = dense(scores).join(scores, ["date", "ticker"], "left")
     keep = 1 - 2 / (span + 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.windows import pct_rank
 from barloom.operators.labels import sample_weights
-from barloom.operators.splits import fold_table, prepare_fold, unique_dates, walk_forward
+from barloom.operators.splits import prepare_fold, walk_forward
 
 #: Settings that a tuner may change.
 DEFAULTS = {"maxIter": 450, "maxDepth": 4, "stepSize": 0.035, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
@@ -26,7 +26,10 @@ CUT = 10
 def checkpoint_folder(spark: SparkSession) -> None:
     """Long boosting cuts its lineage there, which would otherwise grow with every round."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/barloom")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints/barloom")  # one machine, as in tests
 
 
 class AdaBoostR2:
@@ -123,16 +126,17 @@ def run_walk_forward(panel: DataFrame, features: list[str], settings: dict | Non
     """Out-of-fold predictions (date, ticker, target, fwd_ret, fold, models, Ensemble), mean importances, fold summary."""
     spark = panel.sparkSession
     checkpoint_folder(spark)
-    splits = walk_forward(unique_dates(panel), folds, horizon, embargo)
-    rows = panel.join(fold_table(spark, splits), "date")
+    table = walk_forward(panel, folds, horizon, embargo).cache()
+    rows = panel.join(table, "date")
     names = list(regressors())
-    pooled, totals, summary = None, {}, []
-    for k, (train, test) in enumerate(splits):
+    ends = [f(F.when(F.col("role") == role, F.col("date"))).alias(f"{role}_{name}") for role in ("train", "test") for name, f in (("start", F.min), ("end", F.max), ("days", F.count))]
+    summary = [r.asDict() for r in table.groupBy("fold").agg(*ends).orderBy("fold").collect()]  # one row for each fold
+    pooled, totals = None, {}
+    for k in [one["fold"] for one in summary]:
         scored, gain = fit_fold(rows.filter(F.col("fold") == k), features, settings, seed, weighted)
         block = scored.select("date", "ticker", "target", "fwd_ret", F.lit(k).alias("fold"), *names)
         pooled = block if pooled is None else pooled.unionByName(block)
         for one in gain.values():
             for f, g in one.items():
-                totals[f] = totals.get(f, 0.0) + g / len(splits) / len(gain)
-        summary.append({"fold": k, "train_start": train[0], "train_end": train[-1], "test_start": test[0], "test_end": test[-1], "train_days": len(train), "test_days": len(test)})
+                totals[f] = totals.get(f, 0.0) + g / len(summary) / len(gain)
     return pooled.withColumn("Ensemble", rank_average(names, "fold")), dict(sorted(totals.items(), key=lambda r: -r[1])), summary

@@ -358,7 +358,7 @@ def purged_kfold(spark, sf):
   select fold::int as fold, date, case when row >= t0 then 'test' else 'train' end as role from dd, w where t1 - t0 >= 20 and ((row >= t0 and row < t1) or row < greatest(t0 - 10, 10))"""
 )
 def walk_forward(spark, sf):
-    return splits.fold_table(spark, splits.walk_forward(splits.unique_dates(_dates(spark, sf))))
+    return splits.walk_forward(_dates(spark, sf))
 
 
 @query(
@@ -370,7 +370,23 @@ def walk_forward(spark, sf):
   select k::int as fold, date, role from al join ok using (fold)"""
 )
 def cpcv(spark, sf):
-    return splits.fold_table(spark, splits.combinatorial(splits.unique_dates(_dates(spark, sf))))
+    return splits.combinatorial(_dates(spark, sf))
+
+
+@query(
+    f"""with {_DATES}, c as (select max(n) as n, case when max(n) < 700 then greatest(250, (0.4::double * max(n))::int) else 500 end as m from dd), s as (select n, m, greatest((n - m) // 5, 1) as span from c), f as (select unnest(range(5)) as fold),
+  w as (select fold, m + fold * span as t0, case when fold < 4 then m + (fold + 1) * span else n end as t1 from f, s),
+  r as (select fold::int as fold, date, case when row >= t0 then 'test' else 'train' end as role from dd, w where t1 - t0 >= 20 and ((row >= t0 and row < t1) or row < greatest(t0 - 10, 10))),
+  e as (select fold, min(date) filter (role = 'test') as low, max(date) filter (role = 'test') as high from r group by fold), g as (select unnest(range(1, 13)) as embargo)
+  select embargo::int as embargo, fold, count(*) filter (role = 'train' and date between low - ((5 + embargo) * 3 // 2)::int and high + ((5 + embargo) * 3 // 2)::int) as inside from r join e using (fold), g group by all"""
+)
+def fold_overlaps(spark, sf):
+    folds = splits.walk_forward(_dates(spark, sf)).cache()
+    found = [splits.overlaps(folds, 5, e).withColumn("embargo", F.lit(e)) for e in range(1, 13)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 _SPLIT = "case when date < date '2000-01-01' then 'train' else 'test' end"

@@ -112,3 +112,15 @@ def test_factor_attribution(spark):
     got = {r["factor"]: r for r in portfolio.factor_attribution(rows, "y", ["f"])}
     assert abs(got["f"]["beta"] - 2) < 1e-9 and abs(got["alpha"]["beta"] - 0.5 * 252) < 1e-6
     assert math.isfinite(got["f"]["t_stat"])
+
+
+def test_scores_that_repeat_count_as_their_mean(spark):
+    from datetime import date, timedelta
+
+    from barloom.operators import backtest
+
+    rows = [(date(2020, 1, 1) + timedelta(days=d), t, float(d * k)) for d in range(6) for k, t in enumerate("abc")]
+    plain = spark.createDataFrame(rows, "date date, ticker string, pred double")
+    twice = plain.withColumn("pred", plain["pred"] - 1).union(plain.withColumn("pred", plain["pred"] + 1))
+    key = lambda f: sorted((r["date"], r["ticker"], round(r["smooth"], 9)) for r in backtest.smoothed(f).collect())
+    assert key(twice) == key(plain)

@@ -44,21 +44,54 @@ def test_meta_labels(spark):
 DATES = [date(2015, 1, 1) + timedelta(days=i) for i in range(1000)]
 
 
-def test_walk_forward_keeps_its_gap():
-    for train, test in splits.walk_forward(DATES):
-        assert max(train) < min(test) - timedelta(days=9)
-        assert not set(train) & set(test)
-        splits.check_no_overlap(train, test, 5, 5)
+def frame(spark, dates=DATES):
+    return spark.createDataFrame([(d,) for d in dates], "date date")
 
 
-def test_combinatorial_has_many_paths():
-    found = splits.combinatorial(DATES)
-    assert len(found) > 5 and all(not set(a) & set(b) for a, b in found)
+def by_fold(folds):
+    out = {}
+    for r in folds.collect():
+        out.setdefault(r["fold"], {"train": [], "test": []})[r["role"]].append(r["date"])
+    return out
 
 
-def test_overlap_raises():
+def test_walk_forward_keeps_its_gap(spark):
+    for expanding in (True, False):
+        found = by_fold(splits.walk_forward(frame(spark), expanding=expanding))
+        assert len(found) == 5 and sum(len(f["test"]) for f in found.values()) == 500
+        for fold in found.values():
+            assert max(fold["train"]) < min(fold["test"]) - timedelta(days=9)
+            assert not set(fold["train"]) & set(fold["test"])
+            assert expanding or len(fold["train"]) <= 500
+    assert splits.walk_forward(frame(spark, DATES[:260])).count() == 0  # no span of 20 dates
+
+
+def test_combinatorial_has_many_paths(spark):
+    found = by_fold(splits.combinatorial(frame(spark)))
+    assert len(found) > 5 and sorted(found) == list(range(len(found)))
+    gap = timedelta(days=15)
+    for fold in found.values():
+        low, high = min(fold["test"]) - gap, max(fold["test"]) + gap
+        assert all(d < low or d > high for d in fold["train"])
+
+
+def pair(spark, train, test):
+    return spark.createDataFrame([(0, d, "train") for d in train] + [(0, d, "test") for d in test], "fold int, date date, role string")
+
+
+def test_overlap_raises(spark):
     with pytest.raises(AssertionError):
-        splits.check_no_overlap(DATES[:600], DATES[590:700], 5, 5)
+        splits.check_no_overlap(pair(spark, DATES[:600], DATES[590:700]), 5, 5)
+
+
+def test_overlap_at_each_distance(spark):
+    """Training that ends 1 to 20 days before the test span, or begins so long after it: refused within 15 days."""
+    test, rows = DATES[500:600], []
+    for k in range(1, 21):
+        rows += [(k, DATES[500 - k], "train"), (-k, DATES[599 + k], "train"), *((f, d, "test") for f in (k, -k) for d in test)]
+    got = {r["fold"]: r["inside"] for r in splits.overlaps(spark.createDataFrame(rows, "fold int, date date, role string"), 5, 5).collect()}
+    assert got == {s * k: int(k <= 15) for k in range(1, 21) for s in (1, -1)}
+    splits.check_no_overlap(pair(spark, DATES[:484], test), 5, 5)
 
 
 def test_purged_folds_are_disjoint(spark):

@@ -13,7 +13,7 @@ from barloom.plans.registry import ORACLES, QUERIES
 
 TABLES = "lineitem part events".split()
 #: One of each family here; bench and driver runs cover the rest at larger sizes.
-NAMES = ["bars", "audit", "ret_mom", "rolling_skew_kurt", "rsi", "ewma_vol", "regime", "triple_barrier", "uniqueness", "walk_forward", "cpcv", "rank_ic", "ls_weights", "book", "performance", "cusum", "stress", "pbo", "target_encode", "event_bars"]
+NAMES = ["bars", "audit", "ret_mom", "rolling_skew_kurt", "rsi", "ewma_vol", "regime", "triple_barrier", "uniqueness", "walk_forward", "fold_overlaps", "cpcv", "rank_ic", "ls_weights", "book", "performance", "cusum", "stress", "pbo", "target_encode", "event_bars"]
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
