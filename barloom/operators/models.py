@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -108,35 +110,40 @@ def stack(oof: DataFrame, columns: list[str], target: str = "target", alpha: flo
     return model.setPredictionCol("stacked").transform(rows).drop("features"), model.coefficients.tolist()
 
 
-def fit_fold(rows: DataFrame, features: list[str], settings: dict | None = None, seed: int = 7, weighted: bool = True) -> tuple[DataFrame, dict[str, dict[str, float]]]:
-    """Test rows of one fold (role, ...) with each model's predictions, and feature importances."""
+def fit_fold(rows: DataFrame, features: list[str], settings: dict | None = None, seed: int = 7, weighted: bool = True, models: Callable = regressors) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+    """Test rows of one fold (role, ...) with each model's predictions, and feature importances.
+
+    The models are fitted at the same time: a round of boosting is a few short jobs, which leave most of a cluster idle.
+    """
     ready = VectorAssembler(inputCols=features, outputCol="features").transform(prepare_fold(rows.cache(), features)).cache()
     train = ready.filter("role = 'train'").na.drop(subset=["target"])
     train = (sample_weights(train) if weighted else train.withColumn("weight", F.lit(1.0))).cache()
-    test, gain = ready.filter("role = 'test'"), {}
-    for name, model in regressors(settings, seed).items():
-        fitted = model.fit(train)
+    test, gain, given = ready.filter("role = 'test'"), {}, models(settings, seed)
+    with ThreadPoolExecutor(len(given)) as pool:
+        done = list(pool.map(lambda model: model.fit(train), given.values()))
+    for name, fitted in zip(given, done):
         test = fitted.transform(test, name) if isinstance(fitted, AdaBoostR2) else fitted.setPredictionCol(name).transform(test)
         if hasattr(fitted, "featureImportances"):
             gain[name] = dict(zip(features, fitted.featureImportances.toArray().tolist()))
     return test.drop("features"), gain
 
 
-def run_walk_forward(panel: DataFrame, features: list[str], settings: dict | None = None, folds: int = 5, horizon: int = 5, embargo: int = 5, seed: int = 7, weighted: bool = True) -> tuple[DataFrame, dict[str, float], list[dict]]:
+def run_walk_forward(panel: DataFrame, features: list[str], settings: dict | None = None, folds: int = 5, horizon: int = 5, embargo: int = 5, seed: int = 7, weighted: bool = True, models: Callable = regressors) -> tuple[DataFrame, dict[str, float], list[dict]]:
     """Out-of-fold predictions (date, ticker, target, fwd_ret, fold, models, Ensemble), mean importances, fold summary."""
     spark = panel.sparkSession
     checkpoint_folder(spark)
     table = walk_forward(panel, folds, horizon, embargo).cache()
     rows = panel.join(table, "date")
-    names = list(regressors())
+    names = list(models(settings, seed))
     ends = [f(F.when(F.col("role") == role, F.col("date"))).alias(f"{role}_{name}") for role in ("train", "test") for name, f in (("start", F.min), ("end", F.max), ("days", F.count))]
     summary = [r.asDict() for r in table.groupBy("fold").agg(*ends).orderBy("fold").collect()]  # one row for each fold
+    with ThreadPoolExecutor(max(len(summary), 1)) as pool:
+        fitted = list(pool.map(lambda one: fit_fold(rows.filter(F.col("fold") == one["fold"]), features, settings, seed, weighted, models), summary))
     pooled, totals = None, {}
-    for k in [one["fold"] for one in summary]:
-        scored, gain = fit_fold(rows.filter(F.col("fold") == k), features, settings, seed, weighted)
-        block = scored.select("date", "ticker", "target", "fwd_ret", F.lit(k).alias("fold"), *names)
+    for one, (scored, gain) in zip(summary, fitted):
+        block = scored.select("date", "ticker", "target", "fwd_ret", F.lit(one["fold"]).alias("fold"), *names)
         pooled = block if pooled is None else pooled.unionByName(block)
-        for one in gain.values():
-            for f, g in one.items():
+        for gains in gain.values():
+            for f, g in gains.items():
                 totals[f] = totals.get(f, 0.0) + g / len(summary) / len(gain)
     return pooled.withColumn("Ensemble", rank_average(names, "fold")), dict(sorted(totals.items(), key=lambda r: -r[1])), summary

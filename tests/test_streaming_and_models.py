@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from barloom.operators.models import AdaBoostR2, rank_average, run_walk_forward
+from barloom.operators.models import AdaBoostR2, gbt, rank_average, run_walk_forward
 from barloom.sources.bars import load_prices, save_prices
 from barloom.streaming.event_bars import event_bars
 from pyspark.ml.feature import VectorAssembler
@@ -34,9 +34,12 @@ def test_models(spark):
 def test_walk_forward_pools_every_fold(spark):
     days = F.explode(F.sequence(F.to_date(F.lit("2018-01-01")), F.to_date(F.lit("2019-06-30"))))
     panel = spark.range(4).select(F.format_string("n%d", "id").alias("ticker"), days.alias("date")).withColumns({"a": F.randn(1), "target": F.randn(2), "fwd_ret": F.randn(3)}).cache()
-    oof, gain, folds = run_walk_forward(panel, ["a"], {"maxIter": 2, "maxDepth": 2}, folds=2)
+    # The defaults' 1,200 trees a fold take many minutes here; their numbers are tested below.
+    few = lambda settings, seed: {"Boost": gbt(seed, **settings), "DeepBoost": gbt(seed + 1, maxIter=3, maxDepth=3), "AdaBoost": AdaBoostR2(3)}
+    oof, gain, folds = run_walk_forward(panel, ["a"], {"maxIter": 2, "maxDepth": 2}, folds=2, models=few)
     assert {"Boost", "DeepBoost", "AdaBoost", "Ensemble"} <= set(oof.columns) and len(folds) == 2 and "a" in gain
     assert oof.select("fold").distinct().count() == 2
+    assert all(f["train_end"] < f["test_start"] and f["test_days"] >= 20 and f["train_days"] > 200 for f in folds)
 
 
 def test_default_rounds_and_search_ranges():
