@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,17 +103,82 @@ def _odd_space(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(odd)
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at start and have so many places, one run after the other."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(start - upto[:-1], size) + np.arange(upto[-1])
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in rising order, a place of each, and each place's value's number: only distinct values are sorted."""
+    code, value = pd.factorize(x)
+    order = np.argsort(value)
+    rank, place = np.empty(len(value), np.int64), np.empty(len(value), np.int64)
+    rank[order], place[code] = np.arange(len(value)), np.arange(len(x))
+    return value[order], place[order], rank[code]
+
+
+class UnitCache:
+    """Units' ids in arrays sorted by the units' 64-bit hashes; a unit is found only if its bytes are equal too.
+
+    When more than `most` units are held, the half that was used last stays: units that are gone are encoded again.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.turn = most, 0
+        self.hashes, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.span = np.zeros((0, 4), np.int64)  # first byte, bytes, first id, ids
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+
+    def trim(self) -> None:
+        """Begin a batch."""
+        self.turn += 1
+        if len(self.hashes) > self.most:
+            kept = np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2) :])
+            self.hashes, self.used, old = self.hashes[kept], self.used[kept], self.span[kept]
+            self.bytes, self.ids = self.bytes[spread(old[:, 0], old[:, 1])], self.ids[spread(old[:, 2], old[:, 3])]
+            self.span = np.column_stack([np.cumsum(old[:, 1]) - old[:, 1], old[:, 1], np.cumsum(old[:, 3]) - old[:, 3], old[:, 3]])
+
+    def missing(self, hashes: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the units raw[begin:end] are not held."""
+        if not len(self.hashes):
+            return np.arange(len(hashes))
+        at, size = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1), end - begin
+        held = (self.hashes[at] == hashes) & (self.span[at, 1] == size)
+        k = np.flatnonzero(held)
+        differ = raw[spread(begin[k], size[k])] != self.bytes[spread(self.span[at[k], 0], size[k])]
+        if differ.any():
+            held[np.repeat(k, size[k])[differ]] = False
+        self.used[at[held]] = self.turn
+        return np.flatnonzero(~held)
+
+    def add(self, hashes: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Hold units of rising hashes, in place of others with those hashes."""
+        size = end - begin
+        span = np.column_stack([len(self.bytes) + np.cumsum(size) - size, size, len(self.ids) + np.cumsum(count) - count, count])
+        self.bytes, self.ids = np.concatenate([self.bytes, raw[spread(begin, size)]]), np.concatenate([self.ids, ids])
+        other = hashes[np.minimum(np.searchsorted(hashes, self.hashes), len(hashes) - 1)] != self.hashes
+        old, used, spans = self.hashes[other], self.used[other], self.span[other]
+        at = np.searchsorted(old, hashes)
+        self.hashes, self.used, self.span = np.insert(old, at, hashes), np.insert(used, at, self.turn), np.insert(spans, at, span, axis=0)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id in `ids`, and number of ids, of units that are held."""
+        span = self.span[np.searchsorted(self.hashes, hashes)]
+        return span[:, 2], span[:, 3]
+
+
 class BatchTokenizer:
     """Whole texts to ids by the tokenizers library, each distinct unit once.
 
     Pre-tokens never span a single space or line feed between two words. So where those are a text's only white space,
     its units are the words, each with the separator before it, and a text's ids are its units' ids in order. Units of a
-    batch are told apart by 64-bit hashes, those kept between batches by their bytes. Other texts, and those that hold an
+    batch are told apart by 64-bit hashes, from those kept between batches by their bytes too. Other texts, and those that hold an
     added token, which the library finds before it looks for pre-tokens, go to the library whole; none of their units
     are encoded. All texts do if an added token has white space, as it could then begin in one unit and end in the next.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -122,9 +188,7 @@ class BatchTokenizer:
             self.length[i] = len(token)  # a byte-level token has one character for each of its bytes
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.spaced = any(t.split() != [t] for t in map(bytes.decode, self.added))
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.most = most
+        self.cache = UnitCache(most)
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -132,32 +196,25 @@ class BatchTokenizer:
         flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", end[-1] // 4).tobytes()
         return [flat[a:b] for a, b in zip(end, end[1:])]
 
-    def _units(self, units: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        out = [known.get(u) for u in units]
-        missing = [i for i, x in enumerate(out) if x is None]
-        if older:
-            for i in missing:
-                if (x := older.get(units[i])) is not None:
-                    out[i] = known[units[i]] = x
-            missing = [i for i in missing if out[i] is None]
-        for low in range(0, len(missing), 5000):
-            some = missing[low : low + 5000]
-            for i, x in zip(some, self._together([units[i] for i in some])):
-                out[i] = known[units[i]] = x
-        return out
-
-    def _together(self, units: list[bytes]) -> list[bytes]:
-        """Ids of units that the library gets as one text, which is cut where their separators stand."""
+    def _units(self, hashes: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id in the cache, and number of ids, of the units raw[begin:end], whose hashes rise."""
+        self.cache.trim()
+        new = self.cache.missing(hashes, raw, begin, end)
+        if len(new):
+            data = raw.tobytes()
+            units = [data[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist())]
+            ids, count = zip(*(self._together(units[low : low + 5000]) for low in range(0, len(units), 5000)))
+            self.cache.add(hashes[new], raw, begin[new], end[new], np.concatenate(ids), np.concatenate(count))
+        return self.cache.places(hashes)
+
+    def _together(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, and how many each has: the library gets them as one text, which is cut where their separators stand."""
         bare = np.array([u[:1] not in (b" ", b"\n") for u in units])
         parts = [b"\n" + u if x else u for u, x in zip(units, bare.tolist())]
         ids = np.frombuffer(self.library([b"".join(parts).decode()])[0], "<u4")
         end = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(p) for p in parts])) + 1
         start = np.concatenate([[0], end[:-1]]) + bare
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip((4 * start).tolist(), (4 * end).tolist())]
+        return ids[spread(start, end - start)], end - start
 
     def _with_added(self, data: bytes) -> list[int]:
         """Places where an added token's content begins."""
@@ -205,13 +262,11 @@ class BatchTokenizer:
             odd |= (np.diff(first) == 0) & (np.diff(rows) > 0)
             usual, count = np.repeat(~odd, np.diff(first)), np.where(odd, 0, np.diff(first))
             begin, end, first = self._parted(part, begin[usual], end[usual], np.concatenate([[0], np.cumsum(count)]))
-            _, where, which = np.unique(span_hashes(part, begin, end, _TABLE), return_index=True, return_inverse=True)
-            ids = self._units([data[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())])
-            size = np.array([len(x) // 4 for x in ids], np.int64)
-            pool, before = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])
+            hashes, where, which = distinct(span_hashes(part, begin, end, _TABLE))
+            at_id, size = self._units(hashes, part, begin[where], end[where])
             count = size[which]
             upto = np.concatenate([[0], np.cumsum(count)])
-            flat = memoryview(pool[np.repeat(before[which] - upto[:-1], count) + np.arange(upto[-1])].tobytes())
+            flat = memoryview(self.cache.ids[spread(at_id[which], count)].tobytes())
             cut = (4 * upto[first]).tolist()
             whole = iter(self.library([data[rows[k] : rows[k + 1]].decode() for k in np.flatnonzero(odd)]))
             out += [next(whole) if o else bytes(flat[a:b]) for o, a, b in zip(odd.tolist(), cut, cut[1:])]

@@ -146,3 +146,22 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_digests(none, MULTI, public_tokenizers.PATTERN).count() == 0
     assert tokenfile.read_token_file(*tokenfile.write_token_file(none, JSON)).count() == 0
+
+
+def test_few_units_held_and_one_hash_for_two_units():
+    rng = np.random.default_rng(4)
+    made = ["".join(rng.choice(list("abcdé"), rng.integers(1, 6))) for _ in range(400)]
+    texts = [" ".join(rng.choice(made, rng.integers(0, 30))) for _ in range(300)]
+    coder = tokenfile.BatchTokenizer(JSON, most=20)
+    for low in range(0, 300, 40):
+        some = texts[low : low + 40]
+        assert coder.encode(pa.array(some)) == coder.library(some)
+    assert len(coder.cache.hashes) < 400
+    cache, raw, one, two = tokenfile.UnitCache(10), np.frombuffer(b"oneduo", np.uint8), np.array([0, 3]), np.array([3, 6])
+    hashes, ids = np.array([7], np.uint64), np.array([1, 2], "<u4")
+    cache.add(hashes, raw, one[:1], two[:1], ids, np.array([2]))
+    assert not len(cache.missing(hashes, raw, one[:1], two[:1])) and len(cache.missing(hashes, raw, one[1:], two[1:])) == 1
+    cache.add(hashes, raw, one[1:], two[1:], ids[:1] + 8, np.array([1]))
+    assert not len(cache.missing(hashes, raw, one[1:], two[1:])) and len(cache.hashes) == 1
+    first, count = cache.places(hashes)
+    assert cache.ids[first[0] : first[0] + count[0]].tolist() == [9]
