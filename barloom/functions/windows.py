@@ -62,10 +62,14 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def pct_rank(x: Column, over: WindowSpec | None = None, *keys: str) -> Column:
-    """Rank from 1 / n to 1 with averaged ties among the values that are not null."""
+    """Rank from 1 / n to 1 with averaged ties among the values that are not null.
+
+    A value's mean place among its ties comes from its ranks from both ends, so that the keys' partitioning is the only one.
+    """
     part = Window.partitionBy(*keys) if over is None else over
-    tied = Window.partitionBy(*keys, x) if keys else Window.partitionBy(x)
-    return F.when(x.isNotNull(), (F.rank().over(part.orderBy(x.asc_nulls_last())) + (F.count(x).over(tied) - 1) / 2) / F.count(x).over(part))
+    n = F.count(x).over(part)
+    up, down = F.rank().over(part.orderBy(x.asc_nulls_last())), F.rank().over(part.orderBy(x.desc_nulls_last()))
+    return F.when(x.isNotNull(), (up + n + 1 - down) / 2 / n)
 
 
 def forward_fill(x: Column, base: WindowSpec | None = None) -> Column:

@@ -55,12 +55,24 @@ def time_decay(order: Column, count: Column, last: float = 1.0, first: float = 0
 
 
 def sample_weights(frame: DataFrame, uniqueness: str | None = None, decay: bool = True, key: tuple[str, ...] = ()) -> DataFrame:
-    """frame (date, ticker, ...) with `weight`, of mean 1 over the rows of each key, in the order of date and ticker."""
-    part = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(1))
-    weight = F.lit(1.0) if uniqueness is None else F.col(uniqueness) / F.avg(uniqueness).over(part)
+    """frame (date, ticker, ...) with `weight`, of mean 1 over the rows of each key, in the order of date and ticker.
+
+    A row's place is the count of rows on earlier dates, of which there is one row for each date, and its place within its
+    date (by uniqueness where tickers repeat): rows are never brought together by key.
+    """
+    whole, day = [F.col(k) for k in key] or [F.lit(1)], [*key, "date"]
+    counted = frame.groupBy(*day).agg(F.count("*").alias("_n"), *([F.sum(uniqueness).alias("_su"), F.count(uniqueness).alias("_nu")] if uniqueness else []))
+    part = Window.partitionBy(*whole)
+    before = F.coalesce(F.sum("_n").over(part.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mean = F.sum("_su").over(part) / F.sum("_nu").over(part) if uniqueness else F.lit(1.0)
+    days = counted.select(*day, before.alias("_before"), F.sum("_n").over(part).alias("_all"), mean.alias("_mean"))
+    weight = F.lit(1.0) if uniqueness is None else F.col(uniqueness) / F.col("_mean")
     if decay:
-        weight = weight * time_decay(F.row_number().over(part.orderBy("date", "ticker")), F.count("*").over(part))
-    return frame.withColumn("_w", weight).withColumn("weight", F.col("_w") / F.avg("_w").over(part)).drop("_w")
+        weight = weight * time_decay(F.col("_before") + F.row_number().over(Window.partitionBy(*day).orderBy("ticker", *([uniqueness] if uniqueness else []))), F.col("_all"))
+    weighed = frame.join(days, day).withColumn("_w", weight)
+    level = weighed.groupBy(*key).agg(F.avg("_w").alias("_level"))
+    scaled = weighed.join(level, list(key)) if key else weighed.crossJoin(F.broadcast(level))  # one row without a key
+    return scaled.select(*(c for c in frame.columns if c != "weight"), (F.col("_w") / F.col("_level")).alias("weight"))
 
 
 def meta_label(side: Column, realised: Column) -> Column:

@@ -32,11 +32,16 @@ def vol_target_leverage(returns: Column, order: WindowSpec, target: float = 0.10
 
 
 def covariance_pairs(returns: DataFrame) -> DataFrame:
-    """(i, j, cov, corr, n) for i <= j over dates that both names have, from returns (date, ticker, ret1)."""
-    a = returns.select("date", F.col("ticker").alias("i"), F.col("ret1").alias("x")).na.drop()
-    b = returns.select("date", F.col("ticker").alias("j"), F.col("ret1").alias("y")).na.drop()
-    both = a.join(b, "date").filter("i <= j").groupBy("i", "j")
-    sums = both.agg(F.covar_samp("x", "y").alias("cov"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"), F.count("*").alias("n"))
+    """(i, j, cov, corr, n) for i <= j over dates that both names have, from returns (date, ticker, ret1).
+
+    A date's names are brought together once; its products are summed where they are made, so that what is sent after that
+    is one row for each pair of names and task, however many dates there are.
+    """
+    name = F.struct(F.col("ticker").alias("t"), F.col("ret1").alias("r"))
+    days = returns.filter("ret1 is not null and ticker is not null").groupBy("date").agg(F.collect_list(name).alias("_all"))  # a date's names
+    left = days.select("_all", F.explode("_all").alias("a"))
+    both = left.select("a", F.explode(F.filter("_all", lambda b: b["t"] >= F.col("a.t"))).alias("b")).select(F.col("a.t").alias("i"), F.col("b.t").alias("j"), F.col("a.r").alias("x"), F.col("b.r").alias("y"))
+    sums = both.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"), F.count("*").alias("n"))
     return sums.select("i", "j", "cov", F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")).alias("corr"), "n")
 
 
@@ -71,11 +76,11 @@ def ledoit_wolf(returns: DataFrame) -> tuple[list[str], np.ndarray, float]:
     return names, shrink * target + (1 - shrink) * cov, shrink
 
 
-def mean_variance_weights(mu: np.ndarray, cov: np.ndarray, aversion: float = 5.0, cap: float = 0.10) -> np.ndarray:
-    w = np.linalg.pinv(cov + 1e-8 * np.eye(len(mu))) @ mu / aversion
-    w = np.clip(w - w.mean(), -cap, cap)
-    gross = np.abs(w).sum()
-    return w / gross if gross > 0 else w
+def mean_variance_weights(mu: np.ndarray, cov: np.ndarray, aversion: float = 5.0, cap: float = 0.10, gross_limit: float = 1.0, market_neutral: bool = True) -> np.ndarray:
+    """Optimal weights without constraints, then centred if neutral, capped by name and scaled to the gross limit."""
+    best = np.linalg.pinv(cov + 1e-8 * np.eye(len(mu))) @ mu / aversion
+    held = np.clip(best - market_neutral * best.mean(), -cap, cap)
+    return held * gross_limit / (np.abs(held).sum() or gross_limit)
 
 
 def efficient_frontier(mu: np.ndarray, cov: np.ndarray, points: int = 25) -> list[tuple[float, float]]:

@@ -23,15 +23,23 @@ def historical_var(r: str, level: float) -> Column:
 
 
 def gaussian_var(r: str, level: float) -> Column:
-    return -(F.avg(r) + NormalDist().inv_cdf(1 - level) * F.stddev_samp(r))
+    return _gaussian(r, F.lit(NormalDist().inv_cdf(1 - level)))
+
+
+def _gaussian(r: str, z: Column) -> Column:
+    return -(F.avg(r) + z * F.stddev_samp(r))
 
 
 def cornish_fisher_var(r: str, level: float) -> Column:
     """Gaussian with the quantile corrected for skewness and kurtosis, both bias-corrected."""
-    z, n = NormalDist().inv_cdf(1 - level), F.count(r).cast("double")
+    return _cornish_fisher(r, F.lit(NormalDist().inv_cdf(1 - level)))
+
+
+def _cornish_fisher(r: str, z: Column) -> Column:
+    n = F.count(r).cast("double")
     s = F.skewness(r) * F.sqrt(n * (n - 1)) / (n - 2)
     k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(r) + 6)
-    return -(F.avg(r) + (F.lit(z) + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24) * F.stddev_samp(r))
+    return -(F.avg(r) + (z + (z * z - 1) * s / 6 + (z * z * z - 3 * z) * k / 24) * F.stddev_samp(r))
 
 
 def expected_shortfall(frame: DataFrame, level: float = 0.95) -> DataFrame:
@@ -40,16 +48,17 @@ def expected_shortfall(frame: DataFrame, level: float = 0.95) -> DataFrame:
     return frame.join(cut, "series").filter("r <= q").groupBy("series").agg((-F.avg("r")).alias("es"))
 
 
-def filtered_historical_var(frame: DataFrame, level: float = 0.95, halflife: float = 20) -> DataFrame:
-    """(series, var): the quantile of returns scaled by their running deviation, times the last one."""
+def filtered_historical_var(frame: DataFrame, *levels: float, halflife: float = 20) -> DataFrame:
+    """(series, level, var): the quantiles of returns scaled by their running deviation, times the last one."""
+    wanted = levels or (0.95,)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         vol = pd.Series(exponential_std(pdf["r"].to_numpy(float), halflife))
         z = (pdf["r"].reset_index(drop=True) / (vol + 1e-12)).dropna()
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "var": [-z.quantile(1 - level) * vol.iloc[-1]]})
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "level": wanted, "var": [-z.quantile(1 - v) * vol.iloc[-1] for v in wanted]})
 
-    return by_group(frame.select("series", "date", "r"), "series", run, "series string, var double")
+    return by_group(frame.select("series", "date", "r"), "series", run, "series string, level double, var double")
 
 
 def p_value(lr: float) -> float:
@@ -67,7 +76,7 @@ def kupiec(breaches: int, n: int, level: float) -> dict:
     return {"lr": lr, "p_value": p_value(lr), "reject": lr > CRITICAL}
 
 
-def kupiec_column(breaches: Column, n: Column, level: float) -> Column:
+def kupiec_column(breaches: Column, n: Column, level: float | Column) -> Column:
     x = breaches / n
     log = lambda q: (n - breaches) * F.ln(1 - q) + breaches * F.ln(q)
     return F.when((breaches == 0) | (breaches == n), 0.0).otherwise(-2 * (log(F.lit(1 - level)) - log(x)))
@@ -76,7 +85,11 @@ def kupiec_column(breaches: Column, n: Column, level: float) -> Column:
 def transitions(frame: DataFrame) -> DataFrame:
     """(series, n00, n01, n10, n11) of consecutive flags, from frame (series, date, flag 0/1)."""
     pair = frame.withColumn("before", F.lag("flag").over(by_series())).na.drop(subset=["before"])
-    return pair.groupBy("series").agg(*(F.count_if((F.col("before") == a) & (F.col("flag") == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)))
+    return pair.groupBy("series").agg(*_moves())
+
+
+def _moves() -> list[Column]:
+    return [F.count_if((F.col("before") == a) & (F.col("flag") == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)]
 
 
 def christoffersen_column() -> Column:
@@ -90,36 +103,41 @@ def christoffersen_column() -> Column:
 
 
 def var_table(frame: DataFrame, levels: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
-    """One row for each series and level with every estimate, breaches and both tests."""
-    out = None
-    for level in levels:
-        sums = frame.groupBy("series").agg(F.count("r").alias("n"), historical_var("r", level).alias("historical_var"), gaussian_var("r", level).alias("gaussian_var"), cornish_fisher_var("r", level).alias("cornish_fisher_var"))
-        flagged = frame.join(sums.select("series", "historical_var"), "series").withColumn("flag", (F.col("r") < -F.col("historical_var")).cast("int"))
-        hits = flagged.groupBy("series").agg(F.sum("flag").cast("long").alias("breaches"))
-        moved = transitions(flagged).select("series", christoffersen_column().alias("c_lr"))
-        filtered = filtered_historical_var(frame, level).withColumnRenamed("var", "filtered_hist_var")
-        short = expected_shortfall(frame, level).withColumnRenamed("es", "expected_shortfall")
-        rows = sums.join(hits, "series").join(moved, "series").join(filtered, "series").join(short, "series")
-        lr = kupiec_column(F.col("breaches"), F.col("n"), level)
-        one = rows.select(
-            "series", F.lit(f"{level:.0%}").alias("confidence"), "historical_var", "gaussian_var", "cornish_fisher_var", "filtered_hist_var", "expected_shortfall", "breaches",
-            F.round((1 - level) * F.col("n"), 1).alias("expected_breaches"), F.round(lr, 2).alias("kupiec_lr"), (lr > CRITICAL).alias("kupiec_reject"),
-            F.round("c_lr", 2).alias("christoffersen_lr"), (F.col("c_lr") > CRITICAL).alias("christoffersen_reject"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One row for each series and level with every estimate, breaches and both tests.
+
+    Returns are sent once by series: quantiles of all levels are a window over the series, and what follows keeps that
+    partitioning. The filtered estimate, which runs through a series in order, takes one more pass for all levels.
+    """
+    marks = F.percentile("r", F.array(*(F.lit(1 - v) for v in levels))).over(Window.partitionBy("series"))
+    each = F.array(*(F.struct(F.lit(v).alias("level"), F.lit(f"{v:.0%}").alias("confidence"), F.lit(NormalDist().inv_cdf(1 - v)).alias("z"), F.get("_q", F.lit(k)).alias("q")) for k, v in enumerate(levels)))
+    rows = frame.select("series", "date", "r", marks.alias("_q")).select("series", "date", "r", F.explode(each).alias("x")).select("series", "date", "r", "x.*")
+    flagged = rows.withColumn("flag", (F.col("r") < F.col("q")).cast("int"))
+    paired = flagged.withColumn("before", F.lag("flag").over(Window.partitionBy("series", "level").orderBy("date")))
+    sums = paired.groupBy("series", "level", "confidence", "z", "q").agg(
+        F.count("r").alias("n"), _gaussian("r", F.col("z")).alias("gaussian_var"), _cornish_fisher("r", F.col("z")).alias("cornish_fisher_var"),
+        (-F.avg(F.when(F.col("r") <= F.col("q"), F.col("r")))).alias("expected_shortfall"), F.sum("flag").cast("long").alias("breaches"), *_moves(),
+    )
+    rows = sums.join(filtered_historical_var(frame, *levels).withColumnRenamed("var", "filtered_hist_var"), ["series", "level"])
+    lr, independent = kupiec_column(F.col("breaches"), F.col("n"), F.col("level")), christoffersen_column()
+    return rows.select(
+        "series", "confidence", (-F.col("q")).alias("historical_var"), "gaussian_var", "cornish_fisher_var", "filtered_hist_var", "expected_shortfall", "breaches",
+        F.round((1 - F.col("level")) * F.col("n"), 1).alias("expected_breaches"), F.round(lr, 2).alias("kupiec_lr"), (lr > CRITICAL).alias("kupiec_reject"),
+        F.round(independent, 2).alias("christoffersen_lr"), (independent > CRITICAL).alias("christoffersen_reject"),
+    )
 
 
 def stress_scenarios(frame: DataFrame) -> DataFrame:
-    """(series, scenario, ann_vol, var_95, es_95) of the returns as they are, doubled, with the worst five again, with a shock."""
-    kept = frame.select("series", "r").na.drop()
-    worst = kept.withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy("r"))).filter("k <= 5").drop("k")
-    shock = kept.groupBy("series").agg((-3 * F.stddev_samp("r")).alias("r"))
-    parts = {"base": kept, "vol x2": kept.withColumn("r", F.col("r") * 2), "worst 5 days repeated": kept.unionByName(worst), "fat left tail (-3 sigma shock)": kept.unionByName(shock)}
-    out = None
-    for name, part in parts.items():
-        cut = part.groupBy("series").agg((F.stddev_samp("r") * math.sqrt(252)).alias("ann_vol"), historical_var("r", 0.95).alias("var_95"))
-        tail = part.join(cut.select("series", "var_95"), "series").filter("r <= -var_95").groupBy("series").agg((-F.avg("r")).alias("es_95"))
-        one = cut.join(tail, "series").select("series", F.lit(name).alias("scenario"), "ann_vol", "var_95", "es_95")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(series, scenario, ann_vol, var_95, es_95) of the returns as they are, doubled, with the worst five again, with a shock.
+
+    Returns are sent once, by series; each row gives its value in every scenario there.
+    """
+    own = Window.partitionBy("series")
+    placed = frame.select("series", "r").na.drop().withColumns({"_k": F.row_number().over(own.orderBy("r")), "_s": F.stddev_samp("r").over(own)})
+    value = lambda name, x: F.struct(F.lit(name).alias("scenario"), x.alias("v"))
+    worst, shock = "worst 5 days repeated", "fat left tail (-3 sigma shock)"
+    always = F.array(value("base", F.col("r")), value("vol x2", F.col("r") * 2), value(worst, F.col("r")), value(shock, F.col("r")))
+    again = F.when(F.col("_k") <= 5, F.array(value(worst, F.col("r"))))
+    once = F.when(F.col("_k") == 1, F.array(value(shock, -3 * F.col("_s"))))
+    rows = placed.select("series", F.explode(F.flatten(F.array_compact(F.array(always, again, once)))).alias("x")).select("series", "x.*")
+    cut = rows.withColumn("_q", F.percentile("v", 0.05).over(Window.partitionBy("series", "scenario")))
+    return cut.groupBy("series", "scenario").agg((F.stddev_samp("v") * math.sqrt(252)).alias("ann_vol"), (-F.max("_q")).alias("var_95"), (-F.avg(F.when(F.col("v") <= F.col("_q"), F.col("v")))).alias("es_95"))

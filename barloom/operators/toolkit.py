@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.windows import clip, pct_rank
+from barloom.functions.python import ship
+from barloom.functions.windows import clip
 from barloom.operators.portfolio import merge_tree
 
 
@@ -102,11 +104,14 @@ class FrequencyEncoder:
 
 
 def numeric_pipeline(columns: list[str], kind: str = "robust", winsorize: bool = True) -> tuple[Winsorizer | None, Pipeline]:
-    """A winsorizer to fit first, if wanted, and a pipeline of median imputation and scaling into `scaled`."""
+    """A winsorizer to fit first, if wanted, and a pipeline of median imputation and scaling into `scaled`.
+
+    The median is a row within 1 / 10,000 of the middle one, from a summary that does not grow with the rows.
+    """
     if kind not in ("robust", "standard"):
         raise ValueError("kind is robust or standard; RankGauss stands alone")
     scaler = RobustScaler(inputCol="assembled", outputCol="scaled", withCentering=True) if kind == "robust" else StandardScaler(inputCol="assembled", outputCol="scaled", withMean=True)
-    stages = [Imputer(strategy="median", inputCols=columns, outputCols=columns), VectorAssembler(inputCols=columns, outputCol="assembled"), scaler]
+    stages = [Imputer(strategy="median", relativeError=1e-4, inputCols=columns, outputCols=columns), VectorAssembler(inputCols=columns, outputCol="assembled"), scaler]
     return (Winsorizer(columns) if winsorize else None), Pipeline(stages=stages)
 
 
@@ -116,17 +121,31 @@ def one_hot(columns: list[str]) -> Pipeline:
 
 
 def column_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, corr) for i before j, each over rows where both are known: one aggregation."""
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-
-    def corr(a: str, b: str):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-
-    row = df.agg(*(corr(a, b).alias(f"{k}") for k, (a, b) in enumerate(pairs)))
-    cells = F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"`{k}`").alias("corr")) for k, (a, b) in enumerate(pairs)))
-    return row.select(F.explode(cells).alias("x")).select("x.*")
+    """(i, j, corr) for i before j, each over rows where both are known; null where one does not vary.
+
+    Each task sums the products of its rows, centred by the columns' means, as matrices, and sends one row for each pair:
+    what is sent grows with the pairs and the tasks, not with the rows.
+    """
+    ship(df.sparkSession)
+    middle = df.agg(*(F.avg(c).alias(f"m{k}") for k, c in enumerate(columns))).first()
+    means = np.array([0.0 if m is None else m for m in middle], float)
+    i, j = np.triu_indices(len(columns), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(columns), len(columns)))
+        for batch in batches:
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]) - means
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(t[i, j]) for t in total)], ["i", "j", *"nabcde"])
+
+    parts = df.select(*columns).mapInArrow(run, "i int, j int, n double, a double, b double, c double, d double, e double")
+    s = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in "nabcde"))
+    x, y = F.col("c") - F.try_divide(F.col("a") * F.col("a"), F.col("n")), F.col("d") - F.try_divide(F.col("b") * F.col("b"), F.col("n"))
+    corr = F.when((x > 0) & (y > 0), F.try_divide(F.col("e") - F.try_divide(F.col("a") * F.col("b"), F.col("n")), F.sqrt(x) * F.sqrt(y)))
+    names = F.array(*map(F.lit, columns))
+    return s.select(F.get(names, F.col("i")).alias("i"), F.get(names, F.col("j")).alias("j"), corr.alias("corr"))
 
 
 def correlation_prune(df: DataFrame, columns: list[str], threshold: float = 0.95) -> list[str]:
@@ -150,31 +169,47 @@ def vif_scores(df: DataFrame, columns: list[str]) -> list[tuple[str, float]]:
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 16) -> list[tuple[str, float]]:
-    """Mutual information of each column with the target over a grid of ranks, highest first."""
+    """Mutual information of each column with the target over a grid of quantiles, highest first.
+
+    Two aggregations for all columns: mergeable quantile summaries (places within 1 / 10,000 of the rows), then counts of
+    cells, of which the driver gets bins * bins for each column.
+    """
+    names, at = [*columns, target], F.array(*(F.lit(k / bins) for k in range(1, bins)))
+    known = df.filter(F.col(target).isNotNull())
+    marks = known.agg(*(F.percentile_approx(c, at, 10_000).alias(f"q{k}") for k, c in enumerate(names))).first()
+    place = {c: sum(((F.col(c) > q).cast("int") for q in marks[f"q{k}"] or []), F.lit(0)) for k, c in enumerate(names)}
+    each = F.array(*(F.struct(F.lit(c).alias("c"), F.when(F.col(c).isNotNull(), place[c]).alias("a")) for c in columns))
+    counts = known.select(place[target].alias("b"), F.explode(each).alias("x")).filter("x.a is not null").groupBy("x.c", "x.a", "b").agg(F.count("*").alias("n")).collect()
     out = []
     for c in columns:
-        kept = df.select(F.col(c).alias("x"), F.col(target).alias("y")).na.drop()
-        cut = lambda v: F.least(F.floor(pct_rank(F.col(v), Window.partitionBy(F.lit(1))) * bins), F.lit(bins - 1))
-        cells = kept.select(cut("x").alias("a"), cut("y").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).collect()  # bins * bins rows
-        n = sum(r["n"] for r in cells)
-        a, b = {}, {}
-        for r in cells:
-            a[r["a"]] = a.get(r["a"], 0) + r["n"]
-            b[r["b"]] = b.get(r["b"], 0) + r["n"]
-        out.append((c, sum(r["n"] / n * np.log(r["n"] * n / (a[r["a"]] * b[r["b"]])) for r in cells) if n else 0.0))
+        grid = np.zeros((bins, bins))
+        for r in counts:
+            if r["c"] == c:
+                grid[r["a"], r["b"]] = r["n"]
+        share = grid / max(grid.sum(), 1)
+        apart = share.sum(1, keepdims=True) * share.sum(0, keepdims=True)
+        out.append((c, float((share[share > 0] * np.log(share[share > 0] / apart[share > 0])).sum())))
     return sorted(out, key=lambda r: -r[1])
 
 
+def shuffled(df: DataFrame, column: str, seed: int, bucket: int = 50_000) -> DataFrame:
+    """df with the column's values dealt to other rows: a random cycle within random buckets of about so many rows.
+
+    Order and buckets are hashes of the whole row, so a lost task makes the same rows again.
+    """
+    n = max(1, -(-df.count() // bucket))
+    drawn = F.xxhash64(*df.columns, F.lit(seed))
+    cycle = Window.partitionBy(F.pmod(F.xxhash64(drawn, F.lit(1)), F.lit(n))).orderBy(drawn)
+    held = F.struct(F.col(column).alias("v"))
+    ahead = F.coalesce(F.lead(held).over(cycle), F.first(held).over(cycle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return df.withColumn(column, ahead["v"])
+
+
 def mean_decrease(df: DataFrame, columns: list[str], predict: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], float], repeats: int = 3, seed: int = 7) -> list[dict]:
     """Fall of the score when one column is shuffled: mean and deviation over repeats, largest first."""
     whole, out = score(predict(df)), []
     for c in columns:
-        falls = []
-        for k in range(repeats):
-            # Ranks under two orders are matched: each row gets another row's value.
-            one = df.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.rand(seed + k))))
-            other = df.select(F.col(c).alias("_v")).withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.rand(seed + 100 + k))))
-            falls.append(whole - score(predict(one.join(other, "_k").withColumn(c, F.col("_v")).drop("_k", "_v"))))
+        falls = [whole - score(predict(shuffled(df, c, seed + k))) for k in range(repeats)]
         out.append({"feature": c, "mean": float(np.mean(falls)), "std": float(np.std(falls))})
     return sorted(out, key=lambda r: -r["mean"])
 

@@ -65,6 +65,18 @@ def ljung_box(acf: list[float], n: int) -> tuple[float, float]:
     return q, chi2_tail(q, len(acf))
 
 
+def serial_dependence(frame: DataFrame, lags: int = 15) -> DataFrame:
+    """(series, lag, acf, pacf, q, p_value): autocorrelations, partial ones, and the Ljung-Box statistic up to each lag."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lag")
+        r, n = pdf["acf"].fillna(0.0).tolist(), int(pdf["n"].iloc[0])
+        tests = [ljung_box(r[:k], n) if n > k else (math.nan, math.nan) for k in range(1, len(r) + 1)]
+        return pd.DataFrame({"series": pdf["series"], "lag": pdf["lag"], "acf": pdf["acf"], "pacf": partial_autocorrelations(r), "q": [t[0] for t in tests], "p_value": [t[1] for t in tests]})
+
+    return by_group(autocorrelations(frame, lags), "series", run, "series string, lag int, acf double, pacf double, q double, p_value double")  # a row for each lag
+
+
 def cusum_breaks(frame: DataFrame, threshold: float = 5.0) -> DataFrame:
     """(series, date) where the drift of standardised returns passes the threshold; both sums then start again."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.windows import pct_rank
+from barloom.functions.windows import all_dates, pct_rank
 from barloom.operators.backtest import rank_ic
 from barloom.operators.models import DEFAULTS, checkpoint_folder, gbt
 from barloom.operators.splits import prepare_fold, unique_dates
@@ -23,8 +23,11 @@ def suggest(rng: random.Random) -> dict:
     return {"maxIter": rng.randrange(200, 901, 50), "maxDepth": rng.randint(2, 7), "stepSize": log(0.005, 0.15), "subsamplingRate": rng.uniform(0.5, 1.0), "minInstancesPerNode": round(log(1, 60))}
 
 
-def tune(panel: DataFrame, features: list[str], trials: int = 25, horizon: int = 5, embargo: int = 5, seed: int = 7, inner: float = 0.7) -> tuple[dict, list[dict]]:
-    """The best settings by mean over deviation of daily rank ICs on later dates, and all trials."""
+def tune(panel: DataFrame, features: list[str], trials: int = 25, horizon: int = 5, embargo: int = 5, seed: int = 7, inner: float = 0.7, turnover_penalty: float = 0.0) -> tuple[dict, list[dict]]:
+    """The best settings by mean over deviation of daily rank ICs on later dates, and all trials.
+
+    With a penalty, that many times the mean daily move of the mean prediction is taken off.
+    """
     dates = unique_dates(panel)
     cut = int(len(dates) * inner)
     role = F.when(F.col("date") <= F.lit(dates[max(cut - horizon - embargo, 1) - 1]), "train").when(F.col("date") >= F.lit(dates[min(cut, len(dates) - 1)]), "test")
@@ -39,7 +42,11 @@ def tune(panel: DataFrame, features: list[str], trials: int = 25, horizon: int =
         settings = suggest(rng)
         scored = gbt(seed, **settings).setPredictionCol("pred").fit(ready.filter("role = 'train'")).transform(ready.filter("role = 'test'"))
         r = rank_ic(scored).agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.count("*").alias("n")).first()
-        done.append({"settings": settings, "value": r["m"] / ((r["s"] or 0.0) + 1e-6) if r["n"] >= 20 else -1.0})
+        value = r["m"] / ((r["s"] or 0.0) + 1e-6) if r["n"] >= 20 else -1.0
+        if turnover_penalty and r["n"] >= 20:
+            level = scored.groupBy("date").agg(F.avg("pred").alias("p"))  # one row for each date
+            value -= turnover_penalty * (level.select(F.abs(F.col("p") - F.lag("p").over(all_dates())).alias("d")).agg(F.avg("d").alias("d")).first()["d"] or 0.0)
+        done.append({"settings": settings, "value": value})
     ready.unpersist()
     return max(done, key=lambda t: t["value"])["settings"], done
 
@@ -66,19 +73,21 @@ def overfit_probability(performance: DataFrame, most: int = 200) -> DataFrame:
 def reality_check(returns: DataFrame, strategy: str, benchmarks: list[str], boots: int = 500, seed: int = 7) -> float:
     """Share of bootstrap draws whose largest centred mean excess over the benchmarks reaches the observed one.
 
-    Draws resample dates with Poisson counts, so each is one aggregation and all are made in one job.
+    Draws resample dates with Poisson counts, so each is one aggregation and all are made in one job. The counts come from
+    hashes of the row and the draw, whatever the partitions.
     """
-    excess = returns.select(*((F.col(strategy) - F.col(b)).alias(f"x{k}") for k, b in enumerate(benchmarks))).na.drop()
-    means = excess.agg(*(F.avg(c).alias(c) for c in excess.columns)).first()
+    gaps = [f"x{k}" for k in range(len(benchmarks))]
+    excess = returns.select(F.xxhash64(*returns.columns).alias("_row"), *((F.col(strategy) - F.col(b)).alias(x) for x, b in zip(gaps, benchmarks))).na.drop()
+    means = excess.agg(*(F.avg(c).alias(c) for c in gaps)).first()
     observed = max(means)
     poisson, term, total = F.lit(0), math.exp(-1), math.exp(-1)
     for k in range(1, 12):
         poisson = poisson + (F.col("_u") > total).cast("int")
         term /= k
         total += term
-    drawn = excess.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)))).withColumn("_u", F.rand(seed)).withColumn("_n", poisson)
-    sums = drawn.groupBy("boot").agg(*((F.sum((F.col(c) - F.lit(means[c])) * F.col("_n")) / F.sum("_n")).alias(c) for c in excess.columns))
-    top = F.greatest(*excess.columns) if len(benchmarks) > 1 else F.col("x0")
+    drawn = excess.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)))).withColumn("_u", F.pmod(F.xxhash64("_row", "boot", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)).withColumn("_n", poisson)
+    sums = drawn.groupBy("boot").agg(*((F.sum((F.col(c) - F.lit(means[c])) * F.col("_n")) / F.sum("_n")).alias(c) for c in gaps))
+    top = F.greatest(*gaps) if len(benchmarks) > 1 else F.col("x0")
     return sums.agg(F.avg((top >= observed).cast("double")).alias("p")).first()["p"]
 
 

@@ -554,6 +554,13 @@ def _returns(spark, sf, key="p_type"):
     return features.base(src.bars(spark, sf, key)).select("date", "ticker", "ret1")
 
 
+@query()
+def ledoit_wolf(spark, sf):
+    names, cov, shrink = portfolio.ledoit_wolf(_returns(spark, sf))
+    rows = [(a, b, float(cov[i, j]), shrink) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    return spark.createDataFrame(rows, "i string, j string, cov double, shrinkage double")
+
+
 @query()
 def risk_parity(spark, sf):
     names, cov, _ = portfolio.ledoit_wolf(_returns(spark, sf))
@@ -700,9 +707,21 @@ def engle_granger(spark, sf):
     return _round(tsa.engle_granger(_pair(spark, sf)), "series")
 
 
-@query()
+@query(
+    f"""with {_S}, f as (select series, date, sum(r) over ({_BS} rows between 1 following and 5 following) as y, lead(r, 5) over ({_BS}) as later from s),
+  k as (select series, y, row_number() over ({_BS}) as k, count(*) over (partition by series) as n, lag(y) over ({_BS}) as before from f where later is not null),
+  c as (select *, floor(n * (1 - 0.3::double)) as cut from k), t as (select series, avg(y) as m, regr_slope(y, before) as phi, arg_max(y, k) as last from c where k <= cut group by series),
+  h as (select c.series, y, 0.0::double as p0, m as p1, m + pow(phi, k - cut) * (last - m) as p2 from c join t using (series) where k > cut),
+  x as (select series, y, 'random_walk' as model, p0 as p from h union all select series, y, 'historical_mean', p1 from h union all select series, y, 'ar1', p2 from h)
+  select series, model, round(sqrt(avg(pow(y - p, 2))), 6) + 0.0 as rmse, round(avg(abs(y - p)), 6) + 0.0 as mae, round(avg((sign(p) = sign(y))::int::double), 6) + 0.0 as directional_acc from x group by 1, 2"""
+)
 def baseline_forecasts(spark, sf):
-    return tsa.baseline_forecasts(_series(spark, sf))
+    return _round(tsa.baseline_forecasts(_series(spark, sf)), "series", "model")
+
+
+@query()
+def serial_dependence(spark, sf):
+    return tsa.serial_dependence(_series(spark, sf))
 
 
 @query()
@@ -720,7 +739,11 @@ def garch_vol(spark, sf):
     return tsa.garch_vol(_series(spark, sf))
 
 
-@query()
+@query(
+    f"""with {_S}, w as (select series, date, row_number() over ({_BS}) as i, {roll('stddev_samp', 'r', 20, _BS)} as v from s), k as (select * from w where v is not null),
+  n as (select a.series, a.date, count(*) as n, (count_if(c.v < a.v) + (count_if(c.v = a.v) + 1) / 2.0) / count(*)::double as q from k a join k c on c.series = a.series and c.i <= a.i group by 1, 2)
+  select w.series, w.date, case when n >= 252 then case when q <= 0.4::double then 0.0 when q <= 0.75::double then 1.0 else 2.0 end end::double as state from w left join n using (series, date)"""
+)
 def vol_regimes(spark, sf):
     return tsa.vol_regimes(_series(spark, sf))
 
@@ -768,17 +791,74 @@ def corr_pairs(spark, sf):
 @query()
 def rank_gauss(spark, sf):
     rows = _scored(spark, sf).select("ticker", "date", "mom21")
-    return toolkit.RankGauss(["mom21"], 200).fit(rows).transform(rows)
+    return toolkit.RankGauss(["mom21"]).fit(rows).transform(rows)
 
 
 @query()
 def vif(spark, sf):
-    return spark.createDataFrame(toolkit.vif_scores(_scored(spark, sf), ["mom21", "vol20", "ret1"]), "feature string, vif double")
+    panel = features.build_panel(_bars(spark, sf)).cache()
+    return spark.createDataFrame(toolkit.vif_scores(panel, features.feature_columns(panel)), "feature string, vif double")
 
 
 @query()
 def mutual_information(spark, sf):
-    return spark.createDataFrame([(c, float(v)) for c, v in toolkit.mutual_information(_scored(spark, sf), ["mom21", "vol20"], "target")], "feature string, mi double")
+    panel = features.build_panel(_bars(spark, sf)).cache()
+    return spark.createDataFrame(toolkit.mutual_information(panel, features.feature_columns(panel), "target"), "feature string, mi double")
+
+
+_PRUNED = ("mom21", "vol20", "ret1", "pred")
+
+
+@query(
+    f"with {SCORED}, z as (select mom21, vol20, r as ret1, pred from sc), p as ("
+    + " union all ".join(f"select '{b}' as feature, corr({a}, {b}) as c from z" for k, a in enumerate(_PRUNED) for b in _PRUNED[k + 1 :])
+    + ") select distinct feature from p where abs(c) > 0.95"
+)
+def correlation_prune(spark, sf):
+    return spark.createDataFrame([(c,) for c in toolkit.correlation_prune(_scored(spark, sf), list(_PRUNED))], "feature string")
+
+
+@query()
+def clustered_importance(spark, sf):
+    panel = features.build_panel(_bars(spark, sf)).cache()
+    weight = dict(toolkit.mutual_information(panel, features.feature_columns(panel), "target"))
+    rows = [(r["cluster"], r["feature"], float(r["importance"])) for r in toolkit.clustered_importance(panel, weight)]
+    return spark.createDataFrame(rows, "cluster int, feature string, importance double")
+
+
+@query()
+def mean_decrease(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    from barloom.operators.models import ridge
+
+    columns = ["mom21", "vol20", "ret1"]
+    rows = _scored(spark, sf).na.drop().select("ticker", "date", "target", *columns).cache()
+    ready = VectorAssembler(inputCols=columns, outputCol="features")
+    model = ridge(1.0, rows.count(), 1.0).fit(ready.transform(rows).withColumn("weight", F.lit(1.0))).setPredictionCol("pred")
+    score = lambda d: d.agg(F.corr("pred", "target").alias("c")).first()["c"] or 0.0
+    got = toolkit.mean_decrease(rows, columns, lambda d: model.transform(ready.transform(d)).drop("features"), score)
+    return spark.createDataFrame([(r["feature"], r["mean"], r["std"]) for r in got], "feature string, mean double, std double")
+
+
+@query()
+def numeric_pipeline(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _scored(spark, sf).select("ticker", "date", "mom21", "vol20")
+    _, pipe = toolkit.numeric_pipeline(["mom21", "vol20"], "standard", winsorize=False)
+    made = pipe.fit(rows).transform(rows).withColumn("_s", vector_to_array("scaled"))
+    return _round(made.select("ticker", "date", F.get("_s", F.lit(0)).alias("mom21"), F.get("_s", F.lit(1)).alias("vol20")), "ticker", "date")
+
+
+@query(f"with {base()} select ticker, date, 1::bigint as hot from bars")
+def one_hot(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _scored(spark, sf).select("ticker", "date")
+    made = toolkit.one_hot(["ticker"]).fit(rows).transform(rows)
+    ones = F.size(F.filter(vector_to_array("ticker_hot"), lambda x: x == 1)).cast("long")
+    return made.select("ticker", "date", ones.alias("hot"))
 
 
 # ----------------------------------------------------------------------------------------------- models and overfitting
@@ -810,7 +890,7 @@ def pbo(spark, sf):
 @query()
 def reality_check(spark, sf):
     wide = _model_books(spark, sf).groupBy("date").pivot("model", ["mom", "rev", "vol"]).agg(F.first("net"))
-    return spark.createDataFrame([(float(tuning.reality_check(wide, "mom", ["rev", "vol"], 200)),)], "p_value double")
+    return spark.createDataFrame([(float(tuning.reality_check(wide, "mom", ["rev", "vol"])),)], "p_value double")
 
 
 @query()
@@ -819,6 +899,21 @@ def deflated_sharpe(spark, sf):
     return spark.createDataFrame(rows, "trials int, probability double")
 
 
+@query()
+def stacked(spark, sf):
+    from barloom.operators.models import stack
+
+    oof = _scored(spark, sf).filter("target is not null").select("ticker", "date", "target", "mom21", "vol20", (-C("ret1")).alias("rev1"))
+    return stack(oof, ["mom21", "vol20", "rev1"])[0].select("ticker", "date", "stacked")
+
+
+@query()
+def compare_models(spark, sf):
+    scored = _scored(spark, sf).withColumn("rev1", -C("ret1")).cache()
+    cards = bt.compare_models(scored, scored, ["mom21", "rev1"])
+    return spark.createDataFrame([(c["model"], k, float(v)) for c in cards for k, v in c.items() if k != "model"], "model string, metric string, value double")
+
+
 @query()
 def boosted_walk_forward(spark, sf):
     from barloom.operators.models import run_walk_forward

@@ -4,6 +4,7 @@ import math
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 from barloom.operators import backtest as bt
 from barloom.operators import portfolio, risk, toolkit, tsa, tuning
 from barloom.operators.costs import break_even_ic, impact_cost, total_cost
@@ -124,3 +125,72 @@ def test_scores_that_repeat_count_as_their_mean(spark):
     twice = plain.withColumn("pred", plain["pred"] - 1).union(plain.withColumn("pred", plain["pred"] + 1))
     key = lambda f: sorted((r["date"], r["ticker"], round(r["smooth"], 9)) for r in backtest.smoothed(f).collect())
     assert key(twice) == key(plain)
+
+
+def test_correlations_equal_pandas(spark):
+    x = pd.DataFrame(RNG.normal(size=(300, 3)) + 1e4, columns=list("abc")).assign(d=2.0)
+    x.loc[::7, "a"] = np.nan
+    x.loc[::5, "c"] = np.nan
+    frame = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x.to_numpy()], "a double, b double, c double, d double").repartition(5)
+    got = {(r["i"], r["j"]): r["corr"] for r in toolkit.column_correlations(frame, list("abcd")).collect()}
+    want = x.corr()
+    assert set(got) == {(a, b) for k, a in enumerate("abcd") for b in "abcd"[k + 1 :]} and got["b", "d"] is None
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-9 for a, b in ("ab", "ac", "bc"))
+    assert toolkit.column_correlations(frame.filter("a > 1e9"), ["a", "b"]).first()["corr"] is None
+
+
+def test_shuffled_column_and_mutual_information(spark):
+    rows = spark.createDataFrame([(i, float(i % 50) if i % 9 else None, float(i % 50), float(RNG.normal())) for i in range(3000)], "k int, x double, target double, z double").repartition(4)
+    for bucket in (50_000, 400):
+        mixed = toolkit.shuffled(rows, "x", 3, bucket).toPandas().sort_values("k")
+        plain = rows.toPandas().sort_values("k")
+        assert sorted(mixed["x"].fillna(-1)) == sorted(plain["x"].fillna(-1)) and (mixed["z"].to_numpy() == plain["z"].to_numpy()).all()
+        assert abs(np.corrcoef(mixed["x"].fillna(25), plain["target"])[0, 1]) < 0.1
+    assert toolkit.shuffled(rows.limit(0), "x", 3).count() == 0
+    known = dict(toolkit.mutual_information(rows, ["x", "z"], "target"))
+    assert known["x"] > 2 and 0 <= known["z"] < 0.1
+    assert toolkit.mutual_information(rows.limit(0), ["x"], "target") == [("x", 0.0)]
+
+
+def test_risk_tables_equal_numpy(spark):
+    made = {s: RNG.standard_t(4, 700) * 0.01 for s in "ab"}
+    frame = spark.createDataFrame([(s, date(2000, 1, 1) + timedelta(days=i), float(v)) for s, r in made.items() for i, v in enumerate(r)], "series string, date date, r double").repartition(3)
+    table = {(x["series"], x["confidence"]): x for x in risk.var_table(frame, (0.9, 0.95, 0.99)).collect()}
+    assert len(table) == 6
+    for (s, label), row in table.items():
+        r, level = made[s], float(label[:-1]) / 100
+        q = np.quantile(r, 1 - level)
+        flags = r < q
+        assert abs(row["historical_var"] + q) < 1e-12 and row["breaches"] == flags.sum() and abs(row["expected_shortfall"] + r[r <= q].mean()) < 1e-12
+        assert abs(row["kupiec_lr"] - round(risk.kupiec(int(flags.sum()), 700, level)["lr"], 2)) < 0.011
+    stress = {(x["series"], x["scenario"]): x for x in risk.stress_scenarios(frame).collect()}
+    worst = np.concatenate([made["a"], np.sort(made["a"])[:5]])
+    assert abs(stress["a", "worst 5 days repeated"]["ann_vol"] - worst.std(ddof=1) * math.sqrt(252)) < 1e-9
+    shocked = np.append(made["b"], -3 * made["b"].std(ddof=1))
+    assert abs(stress["b", "fat left tail (-3 sigma shock)"]["var_95"] + np.quantile(shocked, 0.05)) < 1e-12
+
+
+def test_weights_by_key_and_uniqueness(spark):
+    from barloom.operators import labels
+
+    x = pd.DataFrame([(f, date(2020, 1, 1) + timedelta(days=d), t, float(RNG.uniform(0.1, 1))) for f in (1, 2) for d in range(20) for t in "abc"[: 1 + d % 3]], columns=["fold", "date", "ticker", "u"])
+    frame = spark.createDataFrame(x.values.tolist(), "fold int, date date, ticker string, u double").repartition(4)
+    for key in ((), ("fold",)):
+        want = []
+        for _, part in x.groupby(list(key)) if key else [(0, x)]:
+            part = part.sort_values(["date", "ticker", "u"])
+            w = part["u"] / part["u"].mean() * np.linspace(0.35, 1, len(part))
+            want += list(zip(part["fold"], part["date"], part["ticker"], (w / w.mean()).round(9)))
+        got = labels.sample_weights(frame, "u", key=key).collect()
+        assert len(got) == len(x) and abs(sum(r["weight"] for r in got) / len(x) - 1) < 1e-9
+        near = zip(sorted((r["fold"], r["date"], r["ticker"], r["weight"]) for r in got), sorted(want))
+        assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-8 for a, b in near)
+
+
+def test_neutral_and_gross_limits():
+    mu, cov = np.arange(6) / 100, np.eye(6) * 0.04
+    free = portfolio.mean_variance_weights(mu, cov, gross_limit=2.0, market_neutral=False)
+    neutral = portfolio.mean_variance_weights(mu, cov, gross_limit=0.5)
+    assert abs(np.abs(free).sum() - 2) < 1e-9 and free.min() >= 0
+    assert abs(np.abs(neutral).sum() - 0.5) < 1e-9 and abs(neutral.sum()) < 1e-9
+    assert not portfolio.mean_variance_weights(mu * 0, cov).any()
