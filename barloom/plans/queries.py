@@ -246,7 +246,14 @@ def entropy60(spark, sf):
     return _sequential(spark, sf, "entropy60")
 
 
-@query()
+@query(
+    f"""with {base()}, a as (select ticker, date, i from b where i > 126 and (i - 127) % 5 = 0), w as (select a.ticker, a.i, c.i - a.i + 126 as pos, coalesce(c.r, 0) as x from a join b c on c.ticker = a.ticker and c.i between a.i - 126 and a.i - 1),
+  ok as (select ticker, i from w group by 1, 2 having stddev_pop(x) > 1e-8), z as (select w.*, size, pos // size as chunk from w join ok using (ticker, i), (values (8), (16), (32)) v(size) where pos // size < 126 // size),
+  m as (select *, x - avg(x) over (partition by ticker, i, size, chunk) as dx from z), u as (select *, sum(dx) over (partition by ticker, i, size, chunk order by pos) as run from m),
+  rs as (select ticker, i, size, chunk, (max(run) - min(run)) / stddev_samp(x) as rs from u group by all having stddev_samp(x) > 0), g as (select ticker, i, size, ln(avg(rs)) as y, ln(size) as s from rs group by all),
+  h as (select ticker, i, regr_slope(y, s) as h from g group by 1, 2 having count(*) >= 3)
+  select b.ticker, b.date, round(last_value(h ignore nulls) over (partition by b.ticker order by b.date rows between unbounded preceding and current row), 6) + 0.0 as hurst126 from b left join h using (ticker, i)"""
+)
 def hurst126(spark, sf):
     return _sequential(spark, sf, "hurst126")
 
@@ -636,7 +643,27 @@ def christoffersen(spark, sf):
     return risk.transitions(flagged).select("series", rounded(risk.christoffersen_column()).alias("lr"))
 
 
-@query()
+#: with recursive-list to vl: each series' running deviation of half-life 20.
+_EW = f"""{_S}, n as (select series, date, r, row_number() over (partition by series order by date) as i from s), k as (select pow(0.5, 1 / 20.0) as k),
+  e as (select series, date, i, r, 1::double as w, 1::double as w2, r as x, r * r as xx from n where i = 1 union all select n.series, n.date, n.i, n.r, e.w * k + 1, e.w2 * k * k + 1, e.x * k + n.r, e.xx * k + n.r * n.r from e join n on n.series = e.series and n.i = e.i + 1, k),
+  vl as (select series, date, r, case when w * w > w2 * (1 + 1e-12) then sqrt(greatest(xx / w - (x / w) * (x / w), 0) * w * w / (w * w - w2)) end as vol from e)"""
+
+
+def _var_sql(label: str, level: float, z: float) -> str:
+    p = f"({1 - level!r}::double)"
+    return f"""select * from (with q as (select series, quantile_cont(r, {p}) as q, count(*)::double as n, -(avg(r) + ({z!r}::double) * stddev_samp(r)) as g,
+      -(avg(r) + (({z!r}::double) + (pow({z!r}::double, 2) - 1) * skewness(r) / 6 + (pow({z!r}::double, 3) - 3 * ({z!r}::double)) * kurtosis(r) / 24) * stddev_samp(r)) as cf from s group by series),
+    f as (select series, date, r, q, (r < q)::int as flag from s join q using (series)), ll as (select *, lag(flag) over (partition by series order by date) as before from f),
+    t as (select series, sum(flag)::double as x, -avg(r) filter (r <= q) as es, count_if(before = 0 and flag = 0)::double as a, count_if(before = 0 and flag = 1)::double as b, count_if(before = 1 and flag = 0)::double as c, count_if(before = 1 and flag = 1)::double as d from ll group by series),
+    y as (select *, b / greatest(a + b, 1) as p01, d / greatest(c + d, 1) as p11, (b + d) / greatest(a + b + c + d, 1) as pp from t),
+    h as (select series, -quantile_cont(r / (vol + 1e-12), {p}) * arg_max(vol, date) as fh from vl group by series),
+    l as (select *, case when x = 0 or x = n then 0 else -2 * (((n - x) * ln({level!r}::double) + x * ln({p})) - ((n - x) * ln(1 - x / n) + x * ln(x / n))) end as kl,
+      case when least(p01, p11, pp) <= 0 or greatest(p01, p11, pp) >= 1 then 0 else -2 * (((a + c) * ln(1 - pp) + (b + d) * ln(pp)) - (a * ln(1 - p01) + b * ln(p01) + c * ln(1 - p11) + d * ln(p11))) end as cl from q join y using (series) join h using (series))
+    select series, '{label}' as confidence, round(-q, 6) + 0.0 as historical_var, round(g, 6) + 0.0 as gaussian_var, round(cf, 6) + 0.0 as cornish_fisher_var, round(fh, 6) + 0.0 as filtered_hist_var, round(es, 6) + 0.0 as expected_shortfall, x::bigint as breaches,
+      round({p} * n, 1) as expected_breaches, round(kl, 2) + 0.0 as kupiec_lr, kl > 3.84 as kupiec_reject, round(cl, 2) + 0.0 as christoffersen_lr, cl > 3.84 as christoffersen_reject from l)"""
+
+
+@query(f"with recursive {_EW} {_var_sql('95%', 0.95, -1.6448536269514715)} union all {_var_sql('99%', 0.99, -2.3263478740408408)}")
 def var_table(spark, sf):
     return _round(risk.var_table(_series(spark, sf)), "series", "confidence", "breaches", "expected_breaches", "kupiec_reject", "christoffersen_reject")
 
@@ -734,9 +761,9 @@ def difference_order(spark, sf):
     return tsa.least_difference_order(src.bars(spark, sf, "p_type").select(C("ticker").alias("series"), "date", F.ln("close").alias("y")))
 
 
-@query()
+@query(f"with recursive {_EW} select series, date, round(vol * sqrt(252.0), 6) + 0.0 as vol from vl")
 def garch_vol(spark, sf):
-    return tsa.garch_vol(_series(spark, sf))
+    return _round(tsa.garch_vol(_series(spark, sf)), "series", "date")
 
 
 @query(
