@@ -80,15 +80,20 @@ def positions(scores: DataFrame, score: str = "pred", quantile: float = 0.2, smo
     return weighted.withColumn("_kept", kept).select("date", "ticker", F.coalesce(forward_fill(F.col("_kept")), F.lit(0.0)).alias("weight"))
 
 
-def equity(book: DataFrame, column: str = "net") -> DataFrame:
-    """(date, equity, drawdown) of compounded returns."""
+def with_curve(book: DataFrame, column: str = "net") -> DataFrame:
+    """book with equity and drawdown of compounded returns, null where the return is."""
     growth, order = F.lit(1.0) + F.col(column), all_dates()
     # A running product by logarithms, with its sign and zeros counted apart: a loss can exceed the capital.
     size = F.exp(cumulative(F.sum, F.ln(F.abs(F.nullif(growth, F.lit(0.0)))), order))
     sign = 1 - 2 * (cumulative(F.sum, (growth < 0).cast("int"), order) % 2)
     product = F.when(cumulative(F.sum, (growth == 0).cast("int"), order) > 0, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0)))
-    grown = book.na.drop(subset=[column]).withColumn("equity", product)
-    return grown.select("date", "equity", (F.col("equity") / cumulative(F.max, F.col("equity"), all_dates()) - 1).alias("drawdown"))
+    grown = book.withColumn("equity", F.when(F.col(column).isNotNull(), product))
+    return grown.withColumn("drawdown", F.col("equity") / cumulative(F.max, F.col("equity"), order) - 1)
+
+
+def equity(book: DataFrame, column: str = "net") -> DataFrame:
+    """(date, equity, drawdown) of compounded returns."""
+    return with_curve(book, column).na.drop(subset=[column]).select("date", "equity", "drawdown")
 
 
 def drawdown_spells(curve: DataFrame) -> DataFrame:
@@ -112,20 +117,21 @@ def _shape(x: str) -> tuple[Column, Column]:
 
 
 def performance_frame(book: DataFrame) -> DataFrame:
-    """One row of the scorecard's figures that need no trial count."""
+    """One row of the scorecard's figures that need no trial count, in one pass over the book."""
     year, tiny = math.sqrt(252), 1e-12
-    curve = equity(book)
-    spells = drawdown_spells(curve).agg(F.coalesce(F.max("days"), F.lit(0)).alias("drawdown_days"))
-    depth = curve.agg(F.min("drawdown").alias("max_drawdown"))
+    seen = cumulative(F.count, F.col("drawdown"), all_dates())
+    peak = forward_fill(F.when(F.col("drawdown") >= 0, F.col("_seen")), all_dates())
+    curve = with_curve(book).withColumn("_seen", seen).withColumn("_below", F.when(F.col("drawdown").isNotNull(), F.col("_seen") - F.coalesce(peak, F.lit(0))))
     g1, g2 = _shape("net")
-    sums = book.agg(
+    sums = curve.agg(
+        F.min("drawdown").alias("max_drawdown"), F.coalesce(F.max("_below"), F.lit(0)).alias("drawdown_days"),
         F.avg("net").alias("m"), F.stddev_samp("net").alias("s"), F.avg("gross").alias("gm"), F.stddev_samp("gross").alias("gs"),
         F.stddev_samp(F.when(F.col("net") < 0, F.col("net"))).alias("ds"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"),
         F.percentile("net", 0.95).alias("hi"), F.percentile("net", 0.05).alias("lo"), g1.alias("skew"), g2.alias("excess_kurtosis"), F.count("net").alias("n"),
         F.avg("turnover").alias("t"), F.avg("cost").alias("c"), F.avg("leverage").alias("avg_leverage"),
     )
     m, s = F.col("m") * 252, F.col("s") * year
-    return sums.crossJoin(depth).crossJoin(spells).select(  # single rows
+    return sums.select(
         m.alias("ann_return"), s.alias("ann_vol"), (m / (s + tiny)).alias("sharpe_net"), (F.col("gm") * 252 / (F.col("gs") * year + tiny)).alias("sharpe_gross"),
         (m / (F.col("ds") * year + tiny)).alias("sortino"), "max_drawdown", "drawdown_days", (m / (F.abs("max_drawdown") + tiny)).alias("calmar"), "hit_rate",
         F.abs(F.col("hi") / (F.col("lo") + tiny)).alias("tail_ratio"), "skew", "excess_kurtosis", (F.col("m") / (F.col("s") / F.sqrt("n") + tiny)).alias("t_stat"),
