@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -118,12 +119,16 @@ def kalman_hedge_ratio(frame: DataFrame, q: float = 1e-5, noise: float = 1e-3) -
 
 
 def engle_granger(frame: DataFrame) -> DataFrame:
-    """(series, hedge_ratio, half_life): slope of y on x, and how fast what is left of y returns to its mean."""
-    slope = frame.na.drop(subset=["y", "x"]).groupBy("series").agg(F.regr_slope("y", "x").alias("hedge_ratio"))
-    spread = frame.na.drop(subset=["y", "x"]).join(slope, "series").select("series", "date", (F.col("y") - F.col("hedge_ratio") * F.col("x")).alias("s"))
+    """(series, hedge_ratio, half_life, adf_p, cointegrated): slope of y on x, how fast what is left of y returns to its
+    mean, and whether a unit root of it is refused at 5 %."""
+    both = frame.na.drop(subset=["y", "x"])
+    slope = both.groupBy("series").agg(F.regr_slope("y", "x").alias("hedge_ratio"))
+    spread = both.join(slope, "series").select("series", "date", (F.col("y") - F.col("hedge_ratio") * F.col("x")).alias("s"))
     moved = spread.withColumn("before", F.lag("s").over(by_series())).na.drop().withColumn("d", F.col("s") - F.col("before"))
     pull = moved.groupBy("series").agg(F.regr_slope("d", "before").alias("k"), F.count("*").alias("n"))
-    return slope.join(pull, "series", "left").select("series", "hedge_ratio", F.when((F.col("n") > 30) & (F.col("k") < 0), -math.log(2) / F.col("k")).alias("half_life"))
+    tested = stationarity(spread.withColumnRenamed("s", "r")).select("series", "adf_p", F.coalesce(F.col("adf_p") < 0.05, F.lit(False)).alias("cointegrated"))
+    half = F.when((F.col("n") > 30) & (F.col("k") < 0), -math.log(2) / F.col("k")).alias("half_life")
+    return slope.join(pull, "series", "left").join(tested, "series", "left").select("series", "hedge_ratio", half, "adf_p", "cointegrated")
 
 
 def yield_curve_pcs(curve: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
@@ -179,7 +184,7 @@ def dickey_fuller(x: np.ndarray, most: int | None = None) -> tuple[float, int]:
     """t statistic of the level in the augmented regression with a constant, lags chosen by AIC, and the lags."""
     x = x[~np.isnan(x)]
     d = np.diff(x)
-    most = min(int(12 * (len(x) / 100) ** 0.25), len(x) // 2 - 2) if most is None else most
+    most = min(math.ceil(12 * (len(x) / 100) ** 0.25), len(x) // 2 - 2) if most is None else most
     best: tuple[float, int] | None = None
 
     def fit(lags: int, start: int) -> tuple[float, float]:
@@ -198,32 +203,62 @@ def dickey_fuller(x: np.ndarray, most: int | None = None) -> tuple[float, int]:
     return fit(best[1], best[1])[1], best[1]
 
 
-def kpss_statistic(x: np.ndarray) -> float:
-    """Level stationarity statistic with a Bartlett window of 4 (n / 100) ^ 1/4 lags."""
+# MacKinnon's response surface for one series and a constant (polynomials in the statistic, lowest power
+# first, for the normal quantile of the p-value; below and above the middle; outside the bounds 0 and 1), and the table of
+# Kwiatkowski, Phillips, Schmidt and Shin for the level.
+ADF_LOW, ADF_MIDDLE, ADF_HIGH = -18.83, -1.61, 2.74
+ADF_SMALL = (2.1659, 1.4412, 0.038269)
+ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+KPSS_LEVELS = (0.347, 0.463, 0.574, 0.739)
+KPSS_P = (0.10, 0.05, 0.025, 0.01)
+
+
+def dickey_fuller_p(t: float) -> float:
+    """Chance of a statistic at or below t under a unit root."""
+    if not t == t or not ADF_LOW <= t <= ADF_HIGH:
+        return math.nan if t != t else float(t > ADF_HIGH)
+    return NormalDist().cdf(float(np.polynomial.polynomial.polyval(t, ADF_SMALL if t <= ADF_MIDDLE else ADF_LARGE)))
+
+
+def kpss_statistic(x: np.ndarray) -> tuple[float, float]:
+    """Level stationarity statistic with a Bartlett window, as wide as the residuals' own autocovariances ask for (Hobijn,
+    Franses and Ooms), and its p-value, held to the table's 0.01 to 0.10."""
     e = x[~np.isnan(x)]
     e = e - e.mean()
-    n, lags = len(e), int(4 * (len(e) / 100) ** 0.25)
-    variance = float(e @ e) / n + 2 / n * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) for k in range(1, lags + 1))
-    return float((np.cumsum(e) ** 2).sum() / (n * n * variance))
+    n = len(e)
+    product = lambda k: float(e[k:] @ e[: n - k]) / n
+    near = [(k, 2 * product(k)) for k in range(1, int(n ** (2 / 9)) + 1)]
+    ratio = sum(k * c for k, c in near) / (product(0) + sum(c for _, c in near))
+    lags = min(int(1.1447 * (ratio * ratio * n) ** (1 / 3)), n - 1)
+    variance = product(0) + 2 * sum((1 - k / (lags + 1)) * product(k) for k in range(1, lags + 1))
+    statistic = float((np.cumsum(e) ** 2).sum() / (n * n * variance))
+    return statistic, float(np.interp(statistic, KPSS_LEVELS, KPSS_P))
+
+
+#: A series has to be longer than this for a test.
+LEAST = 50
 
 
 def stationarity(frame: DataFrame) -> DataFrame:
-    """(series, adf, adf_lags, kpss, hurst, verdict) against the 5 % points -2.86 and 0.463 of both statistics."""
+    """(series, n, adf, adf_lags, adf_p, kpss, kpss_p, hurst, verdict): stationary if a unit root is refused at 5 %.
+
+    Short series, and those that do not vary, have no tests.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("date")["r"].dropna().to_numpy(float)
-        if len(x) < 40:
-            return pd.DataFrame({"series": [pdf["series"].iloc[0]], "adf": [np.nan], "adf_lags": [0], "kpss": [np.nan], "hurst": [np.nan], "verdict": ["too short"]})
-        t, lags = dickey_fuller(x)
-        k = kpss_statistic(x)
-        verdict = "stationary" if t < -2.86 and k < 0.463 else "unit root" if t >= -2.86 and k >= 0.463 else "inconclusive"
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "adf": [t], "adf_lags": [lags], "kpss": [k], "hurst": [rescaled_range(x)], "verdict": [verdict]})
+        t, lags, level = math.nan, None, (math.nan, math.nan)
+        if len(x) > LEAST and x.std() > 0:
+            (t, lags), level = dickey_fuller(x), kpss_statistic(x)
+        p = dickey_fuller_p(t)
+        row = {"series": pdf["series"].iloc[0], "n": len(x), "adf": t, "adf_lags": lags, "adf_p": p, "kpss": level[0], "kpss_p": level[1], "hurst": rescaled_range(x)}
+        return pd.DataFrame([row | {"verdict": "stationary" if p < 0.05 else "unit root"}])
 
-    return by_group(frame.select("series", "date", "r"), "series", run, "series string, adf double, adf_lags int, kpss double, hurst double, verdict string")
+    return by_group(frame.select("series", "date", "r"), "series", run, "series string, n long, adf double, adf_lags int, adf_p double, kpss double, kpss_p double, hurst double, verdict string")
 
 
-def least_difference_order(frame: DataFrame, orders: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0), width: int = 24) -> DataFrame:
-    """(series, d, adf, corr): the statistic of each fractional difference of the log price y, and what it keeps of y."""
+def least_difference_order(frame: DataFrame, orders: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9), width: int = 24, alpha: float = 0.05) -> DataFrame:
+    """(series, d, adf, adf_p, passes, corr): the test of each fractional difference of the log price y, and what it keeps of y."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("date")["y"].to_numpy(float)
@@ -231,8 +266,9 @@ def least_difference_order(frame: DataFrame, orders: tuple[float, ...] = (0.0, 0
         for d in orders:
             w = np.array(fractional_weights(d, width))
             x = np.array([w @ y[i - width : i][::-1] for i in range(width, len(y))])
-            ok = len(x) >= 40 and x.std() > 0
-            rows.append((pdf["series"].iloc[0], d, dickey_fuller(x)[0] if ok else np.nan, float(np.corrcoef(x, y[width:])[0, 1]) if ok else np.nan))
-        return pd.DataFrame(rows, columns=["series", "d", "adf", "corr"])
+            ok = len(x) > LEAST and x.std() > 0
+            t = dickey_fuller(x)[0] if ok else math.nan
+            rows.append((pdf["series"].iloc[0], d, t, dickey_fuller_p(t), dickey_fuller_p(t) < alpha, float(np.corrcoef(x, y[width:])[0, 1]) if ok else math.nan))
+        return pd.DataFrame(rows, columns=["series", "d", "adf", "adf_p", "passes", "corr"])
 
-    return by_group(frame.select("series", "date", "y"), "series", run, "series string, d double, adf double, corr double")
+    return by_group(frame.select("series", "date", "y"), "series", run, "series string, d double, adf double, adf_p double, passes boolean, corr double")

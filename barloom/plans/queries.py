@@ -731,7 +731,12 @@ def kalman(spark, sf):
   select 'pair' as series, round(h.k, 6) + 0.0 as hedge_ratio, round(case when n > 30 and q.k < 0 then -ln(2.0) / q.k end, 6) + 0.0 as half_life from h, q"""
 )
 def engle_granger(spark, sf):
-    return _round(tsa.engle_granger(_pair(spark, sf)), "series")
+    return _round(tsa.engle_granger(_pair(spark, sf)).drop("adf_p", "cointegrated"), "series")
+
+
+@query()
+def cointegration(spark, sf):
+    return tsa.engle_granger(_pair(spark, sf)).select("series", "adf_p", "cointegrated")
 
 
 @query(

@@ -83,7 +83,23 @@ def test_time_series(spark):
     acf = [r["acf"] for r in tsa.autocorrelations(frame).orderBy("lag").collect()]
     assert abs(tsa.partial_autocorrelations(acf)[0] - acf[0]) < 1e-12
     assert abs(tsa.chi2_tail(3.841459, 1) - 0.05) < 1e-5 and abs(tsa.chi2_tail(5.991465, 2) - 0.05) < 1e-5 and abs(tsa.chi2_tail(7.814728, 3) - 0.05) < 1e-5
-    assert tsa.baseline_forecasts(frame).count() == 3 and tsa.least_difference_order(frame).count() == 8
+    assert tsa.baseline_forecasts(frame).count() == 3 and tsa.least_difference_order(frame).count() == 7
+
+
+def test_unit_roots_and_their_p_values(spark):
+    # Published critical values of both tests.
+    assert all(abs(tsa.dickey_fuller_p(t) - p) < 0.002 for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)))
+    assert tsa.dickey_fuller_p(-30) == 0 and tsa.dickey_fuller_p(5) == 1 and math.isnan(tsa.dickey_fuller_p(math.nan))
+    assert abs(tsa.dickey_fuller_p(tsa.ADF_MIDDLE) - tsa.dickey_fuller_p(tsa.ADF_MIDDLE + 1e-9)) < 0.001
+    noise, walk = RNG.normal(size=500), np.cumsum(RNG.normal(size=500))
+    assert tsa.kpss_statistic(noise)[1] > tsa.kpss_statistic(walk)[1]
+    days = [date(2000, 1, 1) + timedelta(days=i) for i in range(500)]
+    pairs = {"tied": 2 * walk + noise, "apart": np.cumsum(RNG.normal(size=500))}
+    frame = spark.createDataFrame([(s, d, float(a), float(b)) for s, y in pairs.items() for d, a, b in zip(days, y, walk)], "series string, date date, y double, x double")
+    got = {r["series"]: r for r in tsa.engle_granger(frame).collect()}
+    assert got["tied"]["cointegrated"] and abs(got["tied"]["hedge_ratio"] - 2) < 0.1 and got["apart"]["adf_p"] > got["tied"]["adf_p"]
+    short = spark.createDataFrame([("s", d, 1.0) for d in days[:20]] + [("flat", d, 1.0) for d in days[:200]], "series string, date date, r double")
+    assert {r["series"]: (r["n"], r["adf_p"], r["verdict"]) for r in tsa.stationarity(short).collect()} == {"s": (20, None, "unit root"), "flat": (200, None, "unit root")}
 
 
 def test_toolkit(spark):
