@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.windows import pct_rank
+from barloom.operators import boosting
 from barloom.operators.labels import sample_weights
 from barloom.operators.splits import prepare_fold, walk_forward
 
@@ -23,6 +24,10 @@ DEFAULTS = {"maxIter": 450, "maxDepth": 4, "stepSize": 0.035, "subsamplingRate":
 
 #: Trees after which AdaBoost's lineage is cut.
 CUT = 10
+#: Training rows times features that one task may hold (some 25 bytes each); MLlib fits larger folds over all executors.
+CELLS = 1 << 24
+#: Depth of trees up to which one task fits them: there they are laid out whole.
+DEPTH = 10
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
@@ -96,6 +101,26 @@ def classifiers(seed: int = 7) -> dict:
     return {"Boost": GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=400, maxDepth=4, stepSize=0.04, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed), "Logistic": LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight")}
 
 
+def plan_of(model: object) -> boosting.Plan | None:
+    """What one task would do for a booster; none for other models, or if a setting is used that only MLlib has."""
+    if isinstance(model, AdaBoostR2):
+        plan = boosting.Plan("adaboost", model.estimators, model.depth, model.rate, seed=model.seed)
+    elif isinstance(model, GBTRegressor):
+        ours = {"maxIter", "maxDepth", "stepSize", "subsamplingRate", "minInstancesPerNode", "maxBins", "seed", "featuresCol", "labelCol", "weightCol", "predictionCol", "cacheNodeIds", "checkpointInterval", "maxMemoryInMB"}
+        if any(p.name not in ours and model.hasDefault(p) and model.getOrDefault(p) != model._defaultParamMap[p] for p in model.params) or model.isSet("validationIndicatorCol"):
+            return None
+        plan = boosting.Plan("gradient", model.getMaxIter(), model.getMaxDepth(), model.getStepSize(), model.getSubsamplingRate(), model.getMinInstancesPerNode(), model.getMaxBins(), model.getSeed())
+    else:
+        return None
+    return plan if plan.depth <= DEPTH and plan.bins <= 256 else None
+
+
+def fitted(model: object, train: DataFrame, cells: int) -> object:
+    """The model fitted to train (features, target, weight, date, ticker): by one task if it can hold so many cells."""
+    plan = plan_of(model)
+    return model.fit(train) if plan is None or not 0 < cells <= CELLS else boosting.fit_in_task(plan, train)
+
+
 def rank_average(columns: list[str], *keys: str) -> Column:
     """Mean of the columns' ranks over all rows of each key, less a half."""
     return sum((pct_rank(F.col(c), None if keys else Window.partitionBy(F.lit(1)), *keys) for c in columns), F.lit(0.0)) / len(columns) - 0.5
@@ -113,18 +138,22 @@ def stack(oof: DataFrame, columns: list[str], target: str = "target", alpha: flo
 def fit_fold(rows: DataFrame, features: list[str], settings: dict | None = None, seed: int = 7, weighted: bool = True, models: Callable = regressors) -> tuple[DataFrame, dict[str, dict[str, float]]]:
     """Test rows of one fold (role, ...) with each model's predictions, and feature importances.
 
-    The models are fitted at the same time: a round of boosting is a few short jobs, which leave most of a cluster idle.
+    The models are fitted at the same time, each by a task; those too large for one by MLlib, whose rounds of boosting are
+    a few short jobs, which leave most of a cluster idle.
     """
     ready = VectorAssembler(inputCols=features, outputCol="features").transform(prepare_fold(rows.cache(), features)).cache()
     train = ready.filter("role = 'train'").na.drop(subset=["target"])
     train = (sample_weights(train) if weighted else train.withColumn("weight", F.lit(1.0))).cache()
     test, gain, given = ready.filter("role = 'test'"), {}, models(settings, seed)
+    cells = train.count() * len(features)
     with ThreadPoolExecutor(len(given)) as pool:
-        done = list(pool.map(lambda model: model.fit(train), given.values()))
-    for name, fitted in zip(given, done):
-        test = fitted.transform(test, name) if isinstance(fitted, AdaBoostR2) else fitted.setPredictionCol(name).transform(test)
-        if hasattr(fitted, "featureImportances"):
-            gain[name] = dict(zip(features, fitted.featureImportances.toArray().tolist()))
+        done = list(pool.map(lambda model: fitted(model, train, cells), given.values()))
+    for name, model in zip(given, done):
+        test = model.transform(test, name) if isinstance(model, (AdaBoostR2, boosting.Trees)) else model.setPredictionCol(name).transform(test)
+        if isinstance(given[name], GBTRegressor) and isinstance(model, boosting.Trees):
+            gain[name] = dict(zip(features, model.importances().tolist()))
+        elif hasattr(model, "featureImportances"):
+            gain[name] = dict(zip(features, model.featureImportances.toArray().tolist()))
     return test.drop("features"), gain
 
 

@@ -72,3 +72,46 @@ def test_many_trees_of_adaboost_keep_their_lineage_short(spark):
     scored = model.transform(ready, "p")
     assert len(model.trees) == 25 and scored.stat.corr("p", "target") > 0.9
     assert scored._jdf.queryExecution().logical().toString().count("UDF") < 11
+
+
+def test_boosters_of_one_task_equal_mllib(spark):
+    from barloom.operators import models
+
+    days = F.expr("date_add(date'2020-01-01', cast(id as int))")
+    columns = {f"x{k}": (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(9 + k))).cast("double") for k in range(4)}
+    rows = spark.range(600).withColumns({"date": days, "ticker": F.lit("a"), **columns})
+    rows = rows.withColumns({"target": F.col("x0") * F.col("x1") - F.col("x2") + F.randn(3), "weight": 0.5 + F.rand(4)})
+    ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).cache()
+    model = gbt(3, maxIter=12, maxDepth=3, subsamplingRate=1.0)
+    one, all_over = models.fitted(model, ready, 2400), models.fitted(model, ready, models.CELLS + 1)
+    both = all_over.setPredictionCol("q").transform(one.transform(ready, "p"))
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+    assert max(abs(a - b) for a, b in zip(one.importances(), all_over.featureImportances.toArray())) < 1e-9
+    ada = AdaBoostR2(12)
+    both = ada.fit(ready).transform(models.fitted(ada, ready, 2400).transform(ready, "p"), "q")
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+
+
+def test_a_tree_of_the_walk_takes_no_jobs(spark, prices):
+    """All 1,200 default trees of a fold; with MLlib's jobs for each this took many minutes."""
+    import time
+
+    from barloom.operators.models import fit_fold
+
+    days = F.explode(F.sequence(F.to_date(F.lit("2018-01-01")), F.to_date(F.lit("2019-06-30"))))
+    role = F.when(F.col("date") < "2019-01-01", "train").otherwise("test")
+    panel = spark.range(4).select(F.format_string("n%d", "id").alias("ticker"), days.alias("date")).withColumns({"a": F.randn(1), "target": F.randn(2), "role": role}).cache()
+    began = time.time()
+    first, again = (fit_fold(panel, ["a"])[0].select("ticker", "date", "Boost", "DeepBoost", "AdaBoost").collect() for _ in range(2))
+    assert time.time() - began < 120 and len(first) == 4 * 181 and sorted(first) == sorted(again)
+
+
+def test_cut_points_part_weights_evenly():
+    import numpy as np
+    from barloom.operators.boosting import cut_points
+
+    x = np.random.default_rng(1).normal(size=10_000)
+    counts = np.bincount(np.searchsorted(cut_points(x, np.ones(len(x)), 31), x), minlength=32)
+    assert len(counts) == 32 and abs(counts - 312.5).max() < 2
+    assert cut_points(np.array([1.0, 2.0, 2.0, 4.0]), np.ones(4), 31).tolist() == [1.5, 3.0]
+    assert not len(cut_points(np.ones(5), np.ones(5), 31))
