@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import map_rows, text_or_empty
+from barloom.llm.common import cached_here, map_rows, text_or_empty
 
 
 class PrefixEncoder:
@@ -192,6 +192,7 @@ class TextEncoder:
 
 @lru_cache(2)
 def text_encoder(path: str, pattern: str) -> TextEncoder:
+    cached_here(text_encoder.cache_clear)
     return TextEncoder(PrefixEncoder.from_file(path), pattern)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,9 +53,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Seconds without a task after which a Python worker gives its memory back.
+IDLE_S = 3.0
+#: What drops this process's caches; a task that uses one keeps it to its end.
+_caches: list[Callable[[], None]] = []
+_idle: threading.Timer | None = None
+_running = 0
+_lock = threading.Lock()
+
+
+def cached_here(clear: Callable[[], None]) -> None:
+    """Have `clear` called when this process has been idle for IDLE_S: workers outlive the stages they are used in."""
+    if clear not in _caches:
+        _caches.append(clear)
+
+
+def _release() -> None:
+    with _lock:
+        if _running:
+            return
+        for clear in _caches:
+            clear()
+        _caches.clear()
+        _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def releasing(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """function over batches; memory that is kept for the next task goes if none comes."""
+    global _idle, _running
+    with _lock:
+        _running += 1
+        if _idle is not None:
+            _idle.cancel()
+    try:
+        yield from function(batches)
+    finally:
+        with _lock:
+            _running -= 1
+            if _idle is not None:
+                _idle.cancel()
+            _idle = threading.Timer(IDLE_S, _release)
+            _idle.daemon = True
+            _idle.start()
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(session_of(df))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: releasing(function, batches), schema)
 
 
 def text_or_empty(column: str = "text"):
@@ -117,14 +169,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _base_powers(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+    both = _powers[:]  # the list may be emptied meanwhile
+    if not both or len(both[0]) < n:
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(max(n, 1 << 21), base, np.uint64)
             p[0] = 1
             both.append(np.cumprod(p, dtype=np.uint64))
         _powers[:] = both
-    return _powers
+    return both
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -165,3 +165,24 @@ def test_few_units_held_and_one_hash_for_two_units():
     assert not len(cache.missing(hashes, raw, one[1:], two[1:])) and len(cache.hashes) == 1
     first, count = cache.places(hashes)
     assert cache.ids[first[0] : first[0] + count[0]].tolist() == [9]
+
+
+def test_idle_workers_drop_their_caches(monkeypatch):
+    import time
+
+    from barloom.llm import common
+
+    monkeypatch.setattr(common, "IDLE_S", 0.2)
+    dropped = []
+
+    def task(batches):
+        for x in batches:
+            common.cached_here(lambda: dropped.append(x))
+            time.sleep(0.5)
+            yield x
+
+    assert list(common.releasing(task, iter([1, 2]))) == [1, 2] and not dropped
+    assert list(common.releasing(task, iter([3]))) == [3] and not dropped  # a task in time keeps them
+    time.sleep(1)
+    assert len(dropped) == 3
+    assert not common._caches and not common._powers
