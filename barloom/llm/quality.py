@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import stored, text_or_empty
 
 SPACE = " \t\n\x0b\f\r"
-#: Hash buckets, whose weights travel as one constant of the query.
+#: Hash buckets (a power of two), whose weights travel as one constant of the query.
 BUCKETS = 8192
 #: Words of raw corpus that the target's counts are smoothed with.
 PRIOR = 20_000
@@ -39,8 +39,12 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def words_of(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SPACE))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+    """Words of a text that is not null: it is split at one character, which takes no pattern, and empty parts are removed."""
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
+
+
+def _left(x: Column, by: int | Column) -> Column:
+    return F.call_function("shiftleft", x, by if isinstance(by, Column) else F.lit(by))
 
 
 def _covered(starts: Column) -> Column:
@@ -53,24 +57,26 @@ def _covered(starts: Column) -> Column:
 def with_repeated_words(worded: DataFrame) -> DataFrame:
     """with_words() and n_repeat_words: the words in three-word windows found twice or more.
 
-    Windows are sorted by hash, in one long with their place, so that equal ones are neighbours; then their words are
-    compared. A text where windows of one hash differ has its windows sorted by their words. Each array is a column of its
-    own: what a lambda function refers to must be an attribute, or it would be computed again for every element.
+    A text whose windows all have hashes of their own repeats none. Elsewhere windows are sorted by hash, in one long with
+    their place, so that equal ones are neighbours; then their words are compared. A text where windows of one hash differ
+    has its windows sorted by their words. Each array is a column of its own: what a lambda function refers to must be an
+    attribute, or it would be computed again for every element.
     """
     n = F.size("_h")
-    window = lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2))
-    left = lambda x: F.call_function("shiftleft", x, F.col("_bits"))
-    same = lambda a, b: F.coalesce(F.call_function("shiftright", a.bitwiseXOR(b), F.col("_bits")) == 0, F.lit(False))
+    same = lambda a, b: F.call_function("shiftright", a.bitwiseXOR(b), F.col("_bits")) == 0
     place = lambda x: x.bitwiseAND(F.col("_mask")).cast("int")
     word = lambda x, k: F.get("_words", place(x) + k)
     places = F.sequence(F.lit(0), n - 3)
 
-    def neighbours(keys: str, equal) -> Column:
-        return F.filter(keys, lambda x, j: ((j > 0) & equal(F.get(keys, F.greatest(j - 1, F.lit(0))), x)) | equal(F.get(keys, j + 1), x))
+    def neighbours(keys: str, equal) -> Column:  # beyond the ends there is null, which equals nothing
+        return F.filter(keys, lambda x, j: equal(F.get(keys, j - 1), x) | equal(F.get(keys, j + 1), x))
 
     bits = F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1.0)).cast("int")
-    keyed = worded.withColumn("_bits", bits).withColumn("_mask", left(F.lit(1).cast("long")) - 1)
-    keyed = keyed.withColumn("_keys", F.when(n > 3, F.sort_array(F.transform(places, lambda i: left(window(i)).bitwiseOR(i.cast("long"))))))
+    keyed = worded.withColumn("_bits", bits).withColumn("_mask", _left(F.lit(1).cast("long"), F.col("_bits")) - 1)
+    windows = F.transform(F.slice("_h", 3, n), lambda h, i: _left(F.get("_pairs", i), 1).bitwiseXOR(h))
+    keyed = keyed.withColumn("_windows", F.when(F.size("_pairs") > 2, windows))
+    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    keyed = keyed.withColumn("_keys", F.when(again, F.sort_array(F.transform("_windows", lambda w, i: _left(w, F.col("_bits")).bitwiseOR(i.cast("long"))))))
     found = keyed.withColumn("_twice", neighbours("_keys", same))
     differ = lambda a, b: same(a, b) & ((word(a, 0) != word(b, 0)) | (word(a, 1) != word(b, 1)) | (word(a, 2) != word(b, 2)))
     met = F.exists(F.sequence(F.lit(1), F.size("_twice") - 1), lambda j: differ(F.get("_twice", j - 1), F.get("_twice", j)))
@@ -80,18 +86,19 @@ def with_repeated_words(worded: DataFrame) -> DataFrame:
     alike = lambda a, b: F.coalesce((a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]), F.lit(False))
     found = found.withColumn("_starts", F.when(F.col("_met"), F.transform(neighbours("_exact", alike), lambda x: x["i"])).otherwise(F.transform("_twice", place)))
     count = F.coalesce(_covered(F.sort_array("_starts")), F.lit(0))
-    return found.withColumn("n_repeat_words", count.cast("long")).drop("_bits", "_mask", "_keys", "_twice", "_met", "_exact", "_starts")
+    return found.withColumn("n_repeat_words", count.cast("long")).drop("_bits", "_mask", "_windows", "_keys", "_twice", "_met", "_exact", "_starts")
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """docs with _words of _text and _h (the words' hashes)."""
-    return docs.withColumn("_words", words_of(F.col("_text"))).withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+    """docs with _words of _text, _h (the words' hashes) and _pairs (hashes of each word and the next)."""
+    hashed = docs.withColumn("_words", words_of(F.col("_text"))).withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+    return hashed.withColumn("_pairs", F.transform(F.slice("_h", 2, F.size("_h")), lambda h, i: _left(F.get("_h", i), 1).bitwiseXOR(h)))
 
 
 def with_base_rules(worded: DataFrame) -> DataFrame:
     """with_words() and the counts of the base rules, and base_failed."""
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    counted = with_repeated_words(worded).withColumn("_lines", lines).withColumns(
+    counted = worded.withColumn("_lines", lines).withColumns(
         {
             "n_words": F.size("_h").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
@@ -100,14 +107,12 @@ def with_base_rules(worded: DataFrame) -> DataFrame:
         }
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop("_lines")
+    return with_repeated_words(counted.drop("_lines")).withColumn("base_failed", failed)
 
 
-def buckets(hashes: Column) -> Column:
-    """The bucket of each word and of each neighbouring pair."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.size(hashes) - 2), lambda i: F.pmod(F.shiftleft(F.get(hashes, i), 1).bitwiseXOR(F.get(hashes, i + 1)), F.lit(BUCKETS)).cast("int"))
-    return F.when(F.size(hashes) > 1, F.concat(one, pair)).otherwise(one)
+def bucket(h: Column) -> Column:
+    """The bucket of a word's or a pair's hash."""
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
 def ratio_weights(worded: DataFrame, trusted: DataFrame) -> list[list[float]]:
@@ -116,7 +121,7 @@ def ratio_weights(worded: DataFrame, trusted: DataFrame) -> list[list[float]]:
     The driver gets one row for each bucket.
     """
     marked = worded.join(F.broadcast(trusted.withColumnRenamed("_id", "_trusted")), F.col("_id") == F.col("_trusted"), "left")
-    each = marked.select(F.explode(buckets(F.col("_h"))).alias("b"), "_half")
+    each = marked.select(F.explode(F.concat(F.transform("_h", bucket), F.transform("_pairs", bucket))).alias("b"), "_half")
     halves = [F.sum((F.col("_half") == k).cast("long")).alias(f"t{k}") for k in (0, 1)]
     rows = each.groupBy("b").agg(F.count("*").alias("raw"), *halves).collect()
     raw, target = [1] * BUCKETS, [[0] * BUCKETS for _ in range(3)]
@@ -134,11 +139,12 @@ def ratio_weights(worded: DataFrame, trusted: DataFrame) -> list[list[float]]:
     return [weights(t) for t in target]
 
 
-def score(hashes: Column, weights: list[float]) -> Column:
-    """Mean weight over a document's n-grams; 0 without any."""
+def score(weights: list[float], first: Column | None = None) -> Column:
+    """Mean weight over the n-grams of a row of with_words(); 0 without any. `first` is the place of bucket 0's weight, if not 0."""
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one constant
-    found = F.transform(buckets(hashes), lambda b: F.get(table, b))
-    return F.coalesce(F.try_divide(F.aggregate(found, F.lit(0.0), lambda a, x: a + x), F.size(found)), F.lit(0.0))
+    add = lambda a, h: a + F.get(table, bucket(h) if first is None else first + bucket(h))
+    total = F.aggregate("_pairs", F.aggregate("_h", F.lit(0.0), add), add)
+    return F.coalesce(F.try_divide(total, F.size("_h") + F.size("_pairs")), F.lit(0.0))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -157,14 +163,16 @@ def threshold(docs: DataFrame, trusted: DataFrame, n: int, weights: list[list[fl
 
     The driver gets one row for each step that is found.
     """
-    wide = with_words(docs)
-    scored = lambda rows: rows.filter(F.size("_h") >= 50).select("_id", *(score(F.col("_h"), w).alias(f"s{k}") for k, w in enumerate(weights[1:])))
+    _, first, second = weights
+    # Shorter documents have null: a filter would be moved below the words and split the texts a second time.
+    held = lambda value: F.when(F.size("_h") >= 50, steps(value))
     if n <= TRUSTED_ROWS:
-        found = scored(wide.join(F.broadcast(trusted.select("_id")), "_id", "left_semi")).join(F.broadcast(trusted), "_id")
+        own = score(second + first, F.col("_half") * BUCKETS)
+        found = with_words(docs.join(F.broadcast(trusted), "_id")).select(held(own).alias("s"))
     else:  # ids and scores are moved, not texts
-        found = scored(wide).join(trusted, "_id")
-    own = F.when(F.col("_half") == 0, F.col("s1")).otherwise(F.col("s0"))
-    counts = sorted((r["s"], r["n"]) for r in found.groupBy(steps(own).alias("s")).agg(F.count("*").alias("n")).collect())
+        both = with_words(docs).select("_id", held(score(first)).alias("s0"), held(score(second)).alias("s1"))
+        found = both.join(trusted, "_id").select(F.when(F.col("_half") == 0, F.col("s1")).otherwise(F.col("s0")).alias("s"))
+    counts = sorted((r["s"], r["n"]) for r in found.groupBy("s").agg(F.count("*").alias("n")).collect() if r["s"] is not None)
     below, lost = 0, LOST * sum(c for _, c in counts)
     for step, c in counts:
         below += c
@@ -185,7 +193,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     least = threshold(plain.select("_id", "_text"), trusted, n, weights) if any(weights[0]) else None
     # A filter on a result must not be moved below the arrays: it would put their expressions inside each other's lambda
     # functions. Filters are not moved below a column that depends on the partition, so every result refers to one.
-    scored = with_base_rules(worded).withColumn("score", score(F.col("_h"), weights[0])).withColumn("_here", F.spark_partition_id() >= 0)
+    scored = with_base_rules(worded).withColumn("score", score(weights[0])).withColumn("_here", F.spark_partition_id() >= 0)
     passed = F.lit(True) if least is None else steps(F.col("score")) >= F.lit(least)
     judged = scored.withColumn("kept", ~F.col("base_failed") & passed)
     return judged.select(*(F.col(x).alias(c) for c, x in extra.items()), *(F.when(F.col("_here"), F.col(c)).alias(c) for c in RESULTS))

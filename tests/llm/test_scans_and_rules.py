@@ -87,3 +87,18 @@ def test_ratio_tells_held_out_labels_apart(spark):
     assert n.get((1, False), 0) <= 0.05 * (n.get((1, True), 0) + n.get((1, False), 0))
     good, bad = (held.filter(f"quality = {q}").agg(F.median("score")).first()[0] for q in (1, 0))
     assert good > bad
+
+
+def test_score_reads_each_gram_once(spark, sf):
+    """The place of a table in a longer one gives its weights; a plan hashes words once, and no window or n-gram again."""
+    rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumn("_text", F.coalesce("text", F.lit("")))
+    size = quality.BUCKETS
+    weights = [(i % 97 - 40) / 7 for i in range(2 * size)]
+    for r in quality.with_words(rows).withColumn("got", quality.score(weights, F.lit(size))).collect():
+        h = r["_h"]
+        assert r["_words"] == WORD.findall(r["_text"])
+        grams = [*h, *((a << 1) ^ b for a, b in zip(h, h[1:]))]
+        assert abs(r["got"] - sum(weights[size + g % size] for g in grams) / max(1, len(grams))) < 1e-9
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    plan = quality.judge(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.count("aggregate(") == 3
