@@ -7,10 +7,13 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:  # it would take 25 MB in each Python worker of an operator on Arrow rows
+    import pandas as pd
+
 
 def ship(spark: SparkSession) -> None:
     """Let executors import this package: the driver serves its code to them, once for each context."""

@@ -186,3 +186,12 @@ def test_idle_workers_drop_their_caches(monkeypatch):
     time.sleep(1)
     assert len(dropped) == 3
     assert not common._caches and not common._powers
+
+
+def test_workers_of_arrow_operators_need_no_pandas():
+    """pandas would stay in every Python worker beside an executor."""
+    import subprocess
+    import sys
+
+    code = "import sys, barloom.llm.bpe, barloom.llm.jaccard, barloom.llm.html, barloom.llm.chat; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"
